@@ -29,8 +29,9 @@ def importers(texts: DataFrame, name: str, symbol_packages: DataFrame, imports:
     """(path, line, context) of import lines that bring ``name`` in: by name, or by a wildcard of one of its packages."""
     own = lines(screened(texts, name)).where(F.trim("text").startswith("import ") & T.has_word(F.col("text"), name))
     wild = imports.where("is_wildcard").join(symbol_packages.select(F.col("package").alias("pkg")).distinct(), "pkg", "left_semi")
-    wild = wild.select("path", F.trim("import_text").alias("context")).distinct()
-    by_text = lines(texts.join(wild.select("path").distinct(), "path", "left_semi")).select("path", "line", F.trim("text").alias("context")).join(wild, ["path", "context"], "left_semi")
+    bare = lambda c: F.regexp_replace(F.trim(c), r"\s*;$", "")  # noqa: E731  as import texts have no end mark
+    wild = wild.select("path", bare("import_text").alias("bare")).distinct()
+    by_text = lines(texts.join(wild.select("path").distinct(), "path", "left_semi")).select("path", "line", F.trim("text").alias("context"), bare("text").alias("bare")).join(wild, ["path", "bare"], "left_semi")
     return own.select("path", "line", F.trim("text").alias("context")).unionByName(by_text.select("path", "line", "context")).dropDuplicates(["path", "line"])
 
 
