@@ -9,11 +9,12 @@ in each of which arrivals follow one another with exponential gaps; the producti
 plain Jaccard similarity of shingle sets, and ``weights="count"`` takes multiplicities.
 
 Classes. Copies (equal word sequences) collapse first, so later steps see different texts only. Coordinates are banded
-(32 bands of 4: a pair at similarity 0.8 is missed with probability 5e-8). Within a bucket no pairs are expanded: its least
-unprocessed member leads, links from the leader to members of other classes are verified exactly on the shingle
-sets, classes are merged, and the leader is done with. This repeats while any bucket still holds two classes; from the fourth round on
-the number of leaders grows fourfold. Every pair that shares a bucket is thus either verified or already in one class: no link is lost.
-Classes are connected components of verified links, named by their least doc_id.
+(32 bands of 5: a pair at similarity 0.8 is missed with probability 3e-6). No bucket is expanded into pairs. Each text is first verified,
+exactly on the shingle sets, against the leader (least member) that it meets in most buckets; then, where a bucket still holds two classes,
+members against the leader of another class. Buckets that hold two classes even then, as those of a much-copied passage do, are settled
+by an exact way: their texts are joined on the rarest fifth of their shingles, in one of which two texts at the threshold must meet (prefix filter with positions),
+and groups of that join are worked off leader by leader, with four times as many leaders a round from the third round on. So every pair that shares a bucket
+is verified, excluded by the filter, or in one class already. Classes are connected components of verified links, named by their least doc_id.
 
 Defined cases: a text of one to four words is one shingle; null texts and texts without words are alone; null ids have a
 null class and join nobody; rows that share an id are one document, known by the text of the least hash, and each such row is returned;
@@ -28,14 +29,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words
 from .components import components
 from .shared import materialise
 
-SHINGLE, K, ROWS, THRESHOLD = 5, 128, 4, 0.8
+SHINGLE, K, ROWS, THRESHOLD = 5, 160, 5, 0.8
 SIGNED = "doc_id long, text_key int, content array<long>, bands array<long>"
 GROUP = 2 << 20
 
@@ -128,7 +129,7 @@ def sign(docs: DataFrame, k: int = K, rows: int = ROWS, weights: str = "set") ->
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """(id, elements): sorted distinct shingles of each text."""
+    """(id, n, elements): sorted distinct shingles of each text, and their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,9 +137,9 @@ def _sets(docs: DataFrame) -> DataFrame:
                 doc, element, _ = shingles(words.split(group.column("text")))
                 cut = np.searchsorted(doc, np.arange(group.num_rows + 1))
                 lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(element.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([group.column("id"), lists], names=["id", "elements"])
+                yield pa.RecordBatch.from_arrays([group.column("id"), pa.array(np.diff(cut), pa.int32()), lists], names=["id", "n", "elements"])
 
-    return docs.mapInArrow(run, "id long, elements array<long>")
+    return docs.mapInArrow(run, "id long, n int, elements array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -149,6 +150,60 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", (common * (1 + threshold) >= threshold * (F.size("ea") + F.size("eb"))).alias("linked"))
 
 
+class _Classes:
+    """Labels of texts, and the links judged so far; every step ends in tables in the shared folder."""
+
+    def __init__(self, sets: DataFrame, threshold: float):
+        self.sets, self.threshold = sets, threshold
+        self.label = sets.select("id", F.col("id").alias("component"), "n")
+        self.judged: DataFrame | None = None
+
+    def groups(self, member: DataFrame) -> DataFrame:
+        """Rows (key, id) of groups that hold two classes, with component, n, and the group's least id as ``first``."""
+        now = member.join(self.label, "id")
+        two = now.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.min("id").alias("first"), F.min("n").alias("least")).where("c1 < c2").select("key", "first", "least")
+        now = now.join(two, "key")
+        if "at" in member.columns:  # too far on in its order even for the least partner in the group that could be a link
+            t = self.threshold
+            now = now.where((F.col("n") - F.col("at")) * (1 + t) >= t * (F.col("n") + F.greatest("least", t * F.col("n"))) - 1e-6)
+        return materialise(now.drop("least"), "groups")
+
+    def pairs(self, led: DataFrame, leaders: DataFrame) -> DataFrame:
+        """(a, b) of leaders and other members of their groups, of other classes and of sizes that allow a link. A pair that is judged already is left out."""
+        fits = (F.least("n", "na") >= self.threshold * F.greatest("n", "na")) & (F.col("a") < F.col("id")) & (F.col("ca") != F.col("component"))
+        chief = leaders.select("key", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), *([F.col("at").alias("at_a")] if "at" in led.columns else []))
+        if "at" in led.columns:
+            # If this is the first shingle that both have, no more than what follows it in either is common. (If it is not, the pair
+            # is met at the first one too.)
+            fits &= (F.least(F.col("n") - F.col("at"), F.col("na") - F.col("at_a"))) * (1 + self.threshold) >= self.threshold * (F.col("n") + F.col("na")) - 1e-6
+        met = led.join(chief, "key").where(fits).groupBy("a", F.col("id").alias("b")).agg(F.count("*").alias("groups"))
+        return met if self.judged is None else met.join(self.judged, ["a", "b"], "left_anti")
+
+    def judge(self, pairs: DataFrame) -> None:
+        """Verify pairs, and merge the classes that links join."""
+        judged = materialise(_verified(pairs.select("a", "b"), self.sets, self.threshold), "judged")
+        own = judged.select("a", "b")
+        self.judged = own if self.judged is None else self.judged.unionByName(own)
+        c = self.label.select("id", "component")
+        links = judged.where("linked").join(c.toDF("a", "ca"), "a").join(c.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a <> b").distinct()
+        links = materialise(links, "links")
+        if links.isEmpty():
+            return
+        new = components(links).toDF("component", "now")
+        self.label = materialise(self.label.join(new, "component", "left").select("id", F.coalesce("now", "component").alias("component"), "n"), "labels")
+
+
+def _prefixes(sets: DataFrame, ids: DataFrame, threshold: float) -> DataFrame:
+    """(key, id, at): for each text its shingles, the rarest first, as far as a partner at the threshold can do without them."""
+    own = sets.join(ids, "id", "left_semi")
+    flat = materialise(own.select("id", "n", F.explode("elements").alias("key")), "elements")
+    often = flat.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    rare = flat.join(often, "key", "left").groupBy("id").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "key"))).alias("e"))
+    size = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
+    head = F.slice("e", F.lit(1), size.cast("int"))
+    return rare.select("id", F.posexplode(head).alias("at", "x")).where("x.df > 1").select(F.col("x.key").alias("key"), "id", "at")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = K, rows: int = ROWS) -> DataFrame:
     """(doc_id, text_key, class_id) of every row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("text_key", F.hash("text"))
@@ -157,48 +212,30 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = K, r
     texts = materialise(signed.groupBy("content").agg(F.min(F.struct("doc_id", "text_key")).alias("least"), F.min_by("bands", F.struct("doc_id", "text_key")).alias("bands")), "texts")
     texts = texts.select("content", F.col("least.doc_id").alias("id"), F.col("least.text_key").alias("text_key"), "bands")
     known = texts.groupBy("id").agg(F.min("text_key").alias("text_key"), F.min_by("bands", "text_key").alias("bands"))
-    member = known.select("id", F.explode("bands").alias("bucket"))
-    lead = member.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
-    member = materialise(member.join(lead.select("bucket"), "bucket").distinct(), "members")
-    ids = member.select("id").distinct()
-    wanted = texts.groupBy("id").agg(F.min("text_key").alias("text_key")).join(ids, "id", "left_semi").withColumn("doc_id", F.col("id"))
-    source = docs.join(wanted, ["doc_id", "text_key"]).select("id", "text")
-    sets = materialise(_sets(source).dropDuplicates(["id"]), "sets")
-    links, seen, label = None, None, ids.select("id", F.col("id").alias("component"))
-    leaders, round_ = 1, 0
+    member = known.select("id", F.explode("bands").alias("key"))
+    shared = member.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
+    member = materialise(member.join(shared.select("key"), "key").distinct(), "members")
+    wanted = texts.groupBy("id").agg(F.min("text_key").alias("text_key")).join(member.select("id").distinct(), "id", "left_semi").withColumn("doc_id", F.col("id"))
+    sets = materialise(_sets(docs.join(wanted, ["doc_id", "text_key"]).select("id", "text")).dropDuplicates(["id"]), "sets")
+    classes = _Classes(sets, threshold)
+    for first in (True, False):
+        now = classes.groups(member)
+        pairs = classes.pairs(now, now.where("id = first"))
+        if first:  # one link a text settles nearly all
+            pairs = pairs.groupBy("b").agg(F.max_by("a", F.struct("groups", -F.col("a"))).alias("a"))
+        classes.judge(pairs)
+    rest = classes.groups(member).select("id").distinct()
+    member, leaders = materialise(_prefixes(sets, rest, threshold), "prefixes"), 1
     while True:
-        round_ += 1
-        now = member.join(label, "id")
-        active = now.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.min("id").alias("first")).where("c1 < c2")
-        now = materialise(now.join(active.select("bucket", "first"), "bucket"), "active")
+        now = classes.groups(member)
         if now.isEmpty():
             break
-        if leaders == 1:
-            led = now.select("bucket", "id", "component", (F.col("id") == F.col("first")).alias("leads"))
-            chief = now.where("id = first").select("bucket", F.col("id").alias("a"), F.col("component").alias("ca"))
-        else:
-            from pyspark.sql import Window
-
-            place = F.row_number().over(Window.partitionBy("bucket").orderBy("id"))
-            top = now.select("bucket", "id", "component", place.alias("place")).where(F.col("place") <= leaders)
-            chief = top.select("bucket", F.col("id").alias("a"), F.col("component").alias("ca"))
-            led = now.join(top.select("bucket", "id", F.lit(True).alias("leads")), ["bucket", "id"], "left").fillna(False, ["leads"])
-        pairs = led.join(chief, "bucket").where("a < id and ca <> component").groupBy("a", F.col("id").alias("b")).agg(F.count("*").alias("buckets"))
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        if round_ == 1:  # one link a text settles nearly all; the rest is looked at again below
-            pairs = pairs.groupBy("b").agg(F.max_by("a", F.struct("buckets", -F.col("a"))).alias("a")).select("a", "b")
-        else:
-            member = materialise(led.where(~F.col("leads")).select("id", "bucket"), "members")
-        judged = materialise(_verified(pairs.select("a", "b"), sets, threshold), "judged")
-        found = judged.where("linked").select("a", "b")
-        links = found if links is None else links.unionByName(found)
-        seen = judged.select("a", "b") if seen is None else seen.unionByName(judged.select("a", "b"))
-        joined = components(links)
-        label = materialise(ids.join(joined, "id", "left").select("id", F.coalesce("component", "id").alias("component")), "labels")
-        if round_ >= 4:
-            leaders *= 4
-    classes = texts.join(label, "id", "left").select("content", F.coalesce("component", "id").alias("class_id"))
-    ranked = signed.select("doc_id", "text_key", "content").join(classes, "content").select("doc_id", "text_key", "class_id").distinct()
+        place = F.row_number().over(Window.partitionBy("key").orderBy("id"))
+        top = now.where("id = first") if leaders < 4 else now.withColumn("place", place).where(F.col("place") <= leaders).drop("place")
+        classes.judge(classes.pairs(now, top))
+        member = materialise(now.join(top.select("key", "id"), ["key", "id"], "left_anti").select("key", "id", "at"), "prefixes")
+        leaders *= 2 if leaders < 4 else 4
+    named = texts.select("content", "id").join(classes.label.select("id", "component"), "id", "left").select("content", F.coalesce("component", "id").alias("class_id"))
+    ranked = signed.select("doc_id", "text_key", "content").join(named, "content").select("doc_id", "text_key", "class_id").distinct()
     out = docs.select("doc_id", "text_key").join(ranked, ["doc_id", "text_key"], "left")
     return out.select("doc_id", "text_key", F.coalesce("class_id", "doc_id").alias("class_id"))
