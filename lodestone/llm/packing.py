@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import words
 from .shared import materialise
-from .tokens import encoder
+from .tokens import batch_encoder
 
 MAX_LEN, END_ID, OPEN_BINS, ROWS_PER_TASK = 2048, 0, 32_768, 50_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -42,21 +42,22 @@ def pieces(docs: DataFrame, tokenizer: str, max_len: int = MAX_LEN, end_id: int
     """(doc_id, piece, start, length, ids_crc32) of every document."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
-        end = np.array([end_id], enc.dtype).tobytes()
+        enc = batch_encoder(tokenizer)
+        end = np.array([end_id], enc.dtype)
         for batch in batches:
             for group in words.groups(batch):
                 doc, piece, start, length, crc = [], [], [], [], []
-                for key, text in zip(group.column("doc_id").to_pylist(), group.column("text").to_pylist(), strict=True):
-                    ids = np.frombuffer(enc.encode(text) + end, enc.dtype)
+                every, at = enc.encode(group.column("text"))
+                for i, key in enumerate(group.column("doc_id").to_pylist()):
+                    ids = np.concatenate([every[at[i] : at[i + 1]], end])
                     first = len(ids) % max_len or max_len
                     edges = [0, *range(first, len(ids) + 1, max_len)]
-                    for i in range(len(edges) - 1):
+                    for j in range(len(edges) - 1):
                         doc.append(key)
-                        piece.append(i)
-                        start.append(edges[i])
-                        length.append(edges[i + 1] - edges[i])
-                        crc.append(crc_u32(ids[edges[i] : edges[i + 1]]))
+                        piece.append(j)
+                        start.append(edges[j])
+                        length.append(edges[j + 1] - edges[j])
+                        crc.append(crc_u32(ids[edges[j] : edges[j + 1]]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(doc, pa.int64()), pa.array(piece, pa.int32())] + [pa.array(x, pa.int64()) for x in (start, length, crc)],
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],

@@ -53,8 +53,8 @@ class Words:
     def doc_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
+    def hashes(self, factor: np.uint64 = K1) -> np.ndarray:
+        """A 64-bit hash of each word's bytes; another odd ``factor`` gives another hash."""
         size = self.end - self.start
         padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
         eights = np.lib.stride_tricks.as_strided(padded[:8].view(np.uint64), shape=(len(self.data) + 1,), strides=(1,))
@@ -63,10 +63,10 @@ class Words:
         for _ in range(8):
             val = eights[at] & _TAIL[np.minimum(left, 8)]
             if todo is None:
-                h = (h ^ val) * K1
+                h = (h ^ val) * factor
                 h ^= h >> U(32)
             else:
-                x = (h[todo] ^ val) * K1
+                x = (h[todo] ^ val) * factor
                 h[todo] = x ^ (x >> U(32))
             more = np.flatnonzero(left > 8)
             if not len(more):
@@ -74,7 +74,7 @@ class Words:
             todo = more if todo is None else todo[more]
             at, left = at[more] + 8, left[more] - 8
         for i in np.flatnonzero(size > 64):
-            h[i] = xxhash.xxh3_64_intdigest(self.data[self.start[i] : self.end[i]].tobytes())
+            h[i] = xxhash.xxh3_64_intdigest(self.data[self.start[i] : self.end[i]].tobytes(), int(factor))
         return mix(h)
 
 
