@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from . import words
 from .mph import PerfectHash, fingerprint
 from .shared import fresh_path, map_file, materialise, write_file
-from .tokens import encoder
+from .tokens import batch_encoder
 
 END_ID = 2
 NULL_KEY = -(1 << 63)
@@ -122,8 +122,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = END_ID, shards: int | N
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, shard = encoder(tokenizer), TaskContext.get().partitionId()
-        end = np.array([end_id], enc.dtype).tobytes()
+        enc, shard = batch_encoder(tokenizer), TaskContext.get().partitionId()
         width = enc.dtype.itemsize
         entries: list[tuple[list, list, list, list]] = []
         state = {"last": None, "copy": 0, "at": 0}
@@ -132,19 +131,17 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = END_ID, shards: int | N
             yield _MAGIC + np.array([width, 0], "<u4").tobytes()
             for batch in batches:
                 for group in words.groups(batch):
-                    ids, copies, at, n = group.column("doc_id").to_pylist(), [], [], []
-                    parts = []
-                    for key, text in zip(ids, group.column("text").to_pylist(), strict=True):
+                    ids, copies = group.column("doc_id").to_pylist(), []
+                    every, at = enc.encode(group.column("text"))
+                    every = np.insert(every, at[1:], end_id)
+                    n = np.diff(at) + 1
+                    for key in ids:
                         state["copy"] = state["copy"] + 1 if key == state["last"] else 0
                         state["last"] = key
-                        part = enc.encode(text) + end
-                        parts.append(part)
                         copies.append(state["copy"])
-                        at.append(state["at"])
-                        n.append(len(part) // width)
-                        state["at"] += n[-1]
-                    entries.append((ids, copies, at, n))
-                    yield b"".join(parts)
+                    entries.append((ids, copies, state["at"] + np.cumsum(n) - n, n))
+                    state["at"] += len(every)
+                    yield every.tobytes()
 
         write_file(shard_uri(root, shard), payload())
         for ids, copies, at, n in entries:
@@ -161,6 +158,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = END_ID, shards: int | N
     for shard in sorted(totals):
         starts[shard] = before
         before += totals[shard]
+    shards = max([shards - 1, *totals]) + 1  # Spark may deal a range out to more tasks than asked for
     parts = max(1, -(-entries.count() // KEYS_PER_INDEX))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
