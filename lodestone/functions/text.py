@@ -71,7 +71,7 @@ def category(line: Column, name: str) -> Column:
         .when(text.rlike(r"\b(extends|with)\b") & word, "ExtendedBy")
         .when(text.startswith("import "), "ImportedBy")
         .when(text.startswith("//") | text.startswith("/*") | text.startswith("*"), "Comment")
-        .when(text.rlike(rf":\s?{n}|\[{n}"), "UsedAsType")
+        .when(text.rlike(rf":\s*{n}|\[{n}"), "UsedAsType")
         .otherwise("Usage")
     )
 

@@ -53,7 +53,10 @@ def api_surface(symbols: DataFrame, package: str, imports: DataFrame, files: Dat
 
 
 def package_graph(imports: DataFrame, files: DataFrame, focus: str | None = None) -> DataFrame:
-    """Distinct (src, dst) of packages: a file's package imports from another package of the index."""
+    """Distinct (src, dst) of packages: a file's package imports from another package of the index.
+
+    With ``focus``, edges among that package and its direct neighbours.
+    """
     known = files.select(F.col("package").alias("dst")).where("dst <> ''").distinct()
     edges = (
         imports.select("path", F.regexp_extract(F.regexp_replace(F.trim("import_text"), r"^import\s+", ""), r"^(.*)\.[^.]*$", 1).alias("dst"))
@@ -63,4 +66,8 @@ def package_graph(imports: DataFrame, files: DataFrame, focus: str | None = None
         .select("src", "dst")
         .distinct()
     )
-    return edges.where((F.col("src") == focus) | (F.col("dst") == focus)) if focus else edges
+    if focus is None:
+        return edges
+    touching = edges.where((F.col("src") == focus) | (F.col("dst") == focus))
+    near = touching.select(F.explode(F.array("src", "dst")).alias("p")).distinct()
+    return edges.join(near.withColumnRenamed("p", "src"), "src", "left_semi").join(near.withColumnRenamed("p", "dst"), "dst", "left_semi")

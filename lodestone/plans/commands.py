@@ -17,9 +17,21 @@ from ..operators import hierarchy, imports, lines, lookup, refs, summary
 from ..sources import git, scan
 from ..sources.ingest import Stats, Tables
 
-#: Parents that say nothing about a code base, and names that are no project types unless the index defines them.
-COMMON_PARENTS = ("Any", "AnyRef", "AnyVal", "Object", "Product", "Serializable", "Enum", "Exception", "RuntimeException", "Throwable", "Error", "Comparable", "Cloneable", "App", "Function", "Function0", "Function1", "Function2", "PartialFunction", "Ordering", "Ordered", "Iterable", "Iterator", "Runnable", "Callable")
-PREDEF = ("Int", "Long", "Short", "Byte", "Char", "Float", "Double", "Boolean", "Unit", "String", "Any", "AnyRef", "AnyVal", "Nothing", "Null", "Option", "Some", "None", "List", "Seq", "Set", "Map", "Vector", "Array", "Either", "Left", "Right", "Future", "Try", "Throwable", "Exception", "Iterator", "Iterable", "Nil", "Tuple2")
+#: Parents that say nothing about a code base, and type names that are in scope everywhere; lower case.
+COMMON_PARENTS = (
+    "product", "serializable", "anyval", "anyref", "any", "matchable", "equals", "object", "enum", "throwable", "exception",
+    "runtimeexception", "ioexception", "illegalargumentexception", "illegalstateexception", "unsupportedoperationexception",
+    "nullpointerexception", "classcastexception", "indexoutofboundsexception", "error", "assertionerror", "stackoverflowerror", "outofmemoryerror",
+    "comparable", "cloneable", "autocloseable", "closeable", "runnable", "callable", "iterable", "iterator",
+    "function0", "function1", "function2", "function3", "partialfunction",
+)
+PREDEF = (
+    "option", "list", "map", "set", "seq", "vector", "array", "either", "some", "none", "nil", "iterable", "iterator", "tuple",
+    "boolean", "string", "int", "long", "double", "float", "byte", "short", "char", "unit", "nothing", "any", "anyref", "anyval",
+)
+TYPE_NAME = r"\b[A-Z][A-Za-z0-9]+\b"
+LIBRARY = r"^(java|javax|scala)([.]|$)"
+RELATED, EXPLAINED_MEMBERS = 10, 3
 
 
 @dataclass(frozen=True)
@@ -242,13 +254,22 @@ def _package(ctx: Context, wanted: str) -> str | None:
     return row and row[0]
 
 
+def no_package(ctx: Context, wanted: str) -> Result:
+    """Suggests packages that hold one of the parts of the name, those with most names first."""
+    parts = [p for p in wanted.lower().split(".") if p]
+    own = ctx.tables.symbols.where("package <> ''").groupBy("package").agg(F.count_distinct("name").alias("names"))
+    near = own.where(F.greatest(F.lit(False), F.lit(False), *[F.lower("package").contains(p) for p in parts])).orderBy(F.desc("names"), "package").limit(5)
+    blank = F.lit("")
+    return Result("not_found", f'Package "{wanted}" not found', {"suggestions": near.select(F.col("package").alias("name"), F.lit("package").alias("kind"), blank.alias("path"), F.lit(0).alias("line"), blank.alias("package"))})
+
+
 @register("package")
 def package(ctx: Context, args: list[str]) -> Result:
     if not args:
         return usage("package <package>")
     name = _package(ctx, args[0])
     if name is None:
-        return not_found(f'Package "{args[0]}" not found', ctx, args[0])
+        return no_package(ctx, args[0])
     own = ctx.kept(ctx.tables.symbols.where(F.col("package") == name))
     if ctx.flags.definitions_only or ctx.flags.explain:
         own = lookup.kept(own, types_only=True)
@@ -257,7 +278,7 @@ def package(ctx: Context, args: list[str]) -> Result:
         return Result("symbols", f"Package {name}:", {"symbols": own})
     edges = lookup.type_edges(ctx.tables.symbols).groupBy("parent_lc").agg(F.count_distinct("child_name", "child_path", "child_line").alias("impl_count"))
     rows = own.join(edges, F.lower("name") == F.col("parent_lc"), "left").drop("parent_lc").fillna(0, ["impl_count"])
-    few = lookup.per_group(ctx.tables.members, ["path", "owner", "owner_line"], lookup.member_order(), ctx.flags.members_limit)
+    few = lookup.per_group(ctx.tables.members, ["path", "owner", "owner_line"], lookup.member_order(), EXPLAINED_MEMBERS)
     return Result("package_explained", f"Package {name}:", {"symbols": rows.orderBy(*lookup.package_order()), "members": few.where(F.col("package") == name)})
 
 
@@ -539,10 +560,12 @@ def explain(ctx: Context, args: list[str]) -> Result:
     if f.expand:
         parts["expanded"] = hierarchy.walk(_type_graph(ctx), sym["name"].lower(), f.expand, down=True).where("depth > 0")
     if f.related:
-        words = own.select(F.explode(F.regexp_extract_all("signature", F.lit(r"\b[A-Z]\w+"), F.lit(0))).alias("w")).unionByName(order.limit(1).select(F.explode("parents").alias("w")))
-        first = lookup.kept(t.symbols, types_only=True).withColumn("_n", F.row_number().over(Window.partitionBy(F.lower("name")).orderBy(*lookup.definition_order()))).where("_n = 1 and package not rlike '^(java|javax|scala)([.]|$)'")
-        wanted = words.where(~F.col("w").isin(*PREDEF)).select(F.lower("w").alias("_w")).distinct()
-        parts["related"] = first.join(wanted, F.lower("name") == F.col("_w"), "left_semi").select("name", "kind", "path", "line", "package").orderBy(*lookup.LAST)
+        words = own.select(F.explode(F.regexp_extract_all("signature", F.lit(TYPE_NAME), F.lit(0))).alias("w")).unionByName(order.limit(1).select(F.explode("parents").alias("w")))
+        wanted = words.select(F.lower("w").alias("_w")).where(~F.col("_w").isin(*PREDEF, sym["name"].lower())).distinct()
+        own_types = t.symbols.groupBy(F.lower("name").alias("_w")).agg(F.bool_and(F.lower("package").rlike(LIBRARY)).alias("_std")).where("not _std").select("_w")
+        first = lookup.kept(t.symbols, types_only=True).withColumn("_n", F.row_number().over(Window.partitionBy(F.lower("name")).orderBy(*lookup.definition_order()))).where("_n = 1")
+        met = first.join(wanted.join(own_types, "_w", "left_semi"), F.lower("name") == F.col("_w"), "left_semi")
+        parts["related"] = lookup.limited(met.select("name", "kind", "path", "line", "package").orderBy("name", "path", "line"), RELATED)
     return Result("explain", f"Explanation of {sym['kind']} {sym['name']}", parts, {"total_implementations": impls.count()}, hint=hint)
 
 
@@ -569,7 +592,7 @@ def api(ctx: Context, args: list[str]) -> Result:
         return usage("api <package>")
     name = _package(ctx, args[0])
     if name is None:
-        return not_found(f'Package "{args[0]}" not found', ctx, args[0])
+        return no_package(ctx, args[0])
     surface = imports.api_surface(ctx.tables.symbols, name, ctx.tables.imports, ctx.tables.files, ctx.flags.used_by)
     rows = ctx.kept(surface)
     return Result("api", f"API surface of {name}:", {"exported": rows.where("importer_count > 0").orderBy(F.desc("importer_count"), "name"), "internal": rows.where("importer_count = 0").select("name").orderBy("name")}, {"total": surface.count()})
@@ -581,7 +604,7 @@ def summary_of(ctx: Context, args: list[str]) -> Result:
         return usage("summary <package>")
     name = _package(ctx, args[0])
     if name is None:
-        return not_found(f'Package "{args[0]}" not found', ctx, args[0])
+        return no_package(ctx, args[0])
     counts = summary.sub_packages(ctx.kept(ctx.tables.symbols), name).orderBy(F.desc("symbol_count"), "sub_package")
     return Result("package_summary", f"Summary of {name}:", {"packages": counts})
 
@@ -593,10 +616,11 @@ def overview(ctx: Context, args: list[str]) -> Result:
     s = ctx.kept(ctx.tables.symbols)
     n = min(f.limit, 10) if f.concise else f.limit
     edges = s.select(F.col("name").alias("child"), "package", F.explode("parents").alias("p")).select("child", "package", F.lower("p").alias("parent"))
-    known = ctx.tables.symbols.groupBy(F.lower("name").alias("parent")).agg(F.bool_and(F.col("package").rlike(r"^(java|javax|scala)([.]|$)")).alias("_std")).where("not _std").select("parent")
-    common = [p.lower() for p in COMMON_PARENTS]
-    edges = edges.where((F.length("parent") > 1) & ~F.col("parent").isin(*common)).join(known, "parent", "left_semi")
-    parts = {"totals": summary.totals(s), "kinds": summary.count_by(s, "kind"), "packages": summary.count_by(s, "package", n), "most_extended": hierarchy.most_extended(edges, n)}
+    known = ctx.tables.symbols.groupBy(F.lower("name").alias("parent")).agg(F.bool_and(F.lower("package").rlike(LIBRARY)).alias("_std"), F.min_by(F.struct("name", "signature"), F.struct(*lookup.LAST)).alias("is"))
+    known = known.where("not _std").select("parent", "is.name", "is.signature")
+    edges = edges.where((F.length("parent") > 1) & ~F.col("parent").isin(*COMMON_PARENTS)).join(known, "parent", "left_semi")
+    extended = hierarchy.most_extended(edges, n).join(known, "parent").orderBy(F.desc("packages"), F.desc("implementations"), "parent").select("name", "packages", "implementations", "signature")
+    parts = {"totals": summary.totals(s), "kinds": summary.count_by(s, "kind"), "packages": summary.count_by(s, "package", n), "most_extended": extended}
     if f.architecture or f.concise or f.focus_package:
         scala_only = ctx.tables.imports.where("lang = 'scala'")
         graph = imports.package_graph(scala_only, ctx.tables.files, f.focus_package)

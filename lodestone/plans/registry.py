@@ -92,7 +92,7 @@ _TRIM = "trim(text, ' ')"
 _CATEGORY = rf"""CASE WHEN regexp_matches({_TRIM}, '^(trait|class|object|enum|given|type|def|val|var)\s') AND (regexp_matches({_TRIM}, '(trait|class|object|enum|type) that') OR regexp_matches({_TRIM}, 'given\s+\w*\s*that')) THEN 'Definition'
   WHEN regexp_matches({_TRIM}, '\b(extends|with)\b') THEN 'ExtendedBy' WHEN starts_with({_TRIM}, 'import ') THEN 'ImportedBy'
   WHEN starts_with({_TRIM}, '//') OR starts_with({_TRIM}, '/*') OR starts_with({_TRIM}, '*') THEN 'Comment'
-  WHEN regexp_matches({_TRIM}, ':\s?that|\[that') THEN 'UsedAsType' ELSE 'Usage' END"""
+  WHEN regexp_matches({_TRIM}, ':\s*that|\[that') THEN 'UsedAsType' ELSE 'Usage' END"""
 HITS_SQL = f"hits AS (SELECT path, CAST(line AS INTEGER) AS line, {_TRIM} AS context, {_CATEGORY} AS category FROM lines WHERE {WORD_SQL.format('that')})"
 
 
@@ -458,7 +458,7 @@ def api_used_by(spark, sf):
     return imports.api_surface(syms, "Brand#13", used, files, used_by="building").where("importer_count > 0").select("name", "importer_count")
 
 
-@query(f"WITH {TRADE_SQL} SELECT src, dst FROM trade WHERE src <> dst AND (src = 'NATION_6' OR dst = 'NATION_6')")
+@query(f"WITH {TRADE_SQL} SELECT src, dst FROM trade WHERE src <> dst AND src IN (SELECT src FROM trade WHERE dst = 'NATION_6' UNION SELECT dst FROM trade WHERE src = 'NATION_6' UNION SELECT 'NATION_6') AND dst IN (SELECT src FROM trade WHERE dst = 'NATION_6' UNION SELECT dst FROM trade WHERE src = 'NATION_6' UNION SELECT 'NATION_6')")
 def package_graph(spark, sf):
     e = trade(spark, sf)
     imp = e.select(F.col("src").alias("path"), F.concat(F.col("dst"), F.lit(".X")).alias("import_text"))
