@@ -34,7 +34,7 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.repetition_rules(table(spark, sf_dir, "documents"))
+    return quality.repetition_rules(table(spark, sf_dir, "documents")).drop("dup_line_chars", "max_ngram_excess")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +64,44 @@ QUERIES = {f.__name__: f for f in (op1_token_output, op2_license_scan, op3_best_
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BARE = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+OP4_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+size AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN size x ON a = x.doc_id JOIN size y ON b = y.doc_id WHERE 10 * c >= 8 * (x.n + y.n - c)),
+linked AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT a, b FROM linked UNION SELECT r.a, e.b FROM reach r JOIN linked e ON r.b = e.a)
+SELECT doc_id, least(doc_id, coalesce(min(b), doc_id)) AS class_id FROM documents LEFT JOIN reach ON a = doc_id GROUP BY doc_id
+"""
+
+_LIMITS = ", ".join(f"({n}, {limit})" for n, limit in quality.NGRAM_LIMITS.items())
+OP5_SQL = rf"""
+WITH d AS (SELECT doc_id, text, {_WORDS} AS w FROM documents),
+limits(n, most) AS (VALUES {_LIMITS}),
+win AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS k FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, limits WHERE len(w) >= n)),
+twice AS (SELECT doc_id, n, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, n, k) > 1),
+covered AS (SELECT DISTINCT doc_id, n, unnest(range(i, i + n)) AS p FROM twice),
+chars AS (SELECT c.doc_id, c.n, count(*) AS n_words, sum(length(d.w[c.p])) AS n_chars FROM covered c JOIN d USING (doc_id) GROUP BY ALL),
+rep AS (SELECT doc_id, max(n_words) FILTER (n = {quality.BASE_N}) AS n_repeat_words, max(n_chars / 1.0) AS top FROM chars GROUP BY doc_id),
+over AS (SELECT DISTINCT c.doc_id FROM chars c JOIN limits USING (n) JOIN d USING (doc_id) WHERE CAST(c.n_chars AS DOUBLE) / list_sum(list_transform(d.w, lambda x: length(x))) - CAST(most AS DOUBLE) > 0),
+cut AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents),
+full_lines AS (SELECT doc_id, line, i, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) AS k FROM cut WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+lines AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (k > 1) AS n_dup_lines, coalesce(sum(length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g'))) FILTER (k > 1), 0) AS dup_chars FROM full_lines GROUP BY doc_id),
+m AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars, len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]')) AS n_symbols,
+    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, coalesce(dup_chars, 0) AS dup_chars, o.doc_id IS NOT NULL AS over
+  FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN over o USING (doc_id)),
+f AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+  CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+  NOT base_failed AND NOT over AND NOT n_dup_lines > CAST({quality.DUP_LINE_LIMIT} AS DOUBLE) * n_lines AND NOT CAST(dup_chars AS DOUBLE) / greatest(word_chars, 1) > CAST({quality.DUP_LINE_CHAR_LIMIT} AS DOUBLE)
+    AND NOT n_symbols > CAST({quality.SYMBOL_LIMIT} AS DOUBLE) * n_words AS kept, CAST(n_lines AS BIGINT) AS n_lines
+FROM f
+"""
+
 OP6_SQL = f"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, {_BARE}) AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, {_BARE}) AS w FROM benchmark),
@@ -114,4 +152,4 @@ kept AS (SELECT doc_id, w, coalesce(len(ps), 0) AS n_removed, CASE WHEN ps IS NU
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed, sha256(array_to_string(words, ' ')) AS kept_sha256 FROM kept
 """
 
-SQL = {"op2_license_scan": license_scan.oracle(), "op6_decontamination": OP6_SQL, "op7_chat_format": OP7_SQL, "op8_url_filter": OP8_SQL, "op10_substring_dedup": OP10_SQL}
+SQL = {"op2_license_scan": license_scan.oracle(), "op4_near_dedup": OP4_SQL, "op5_quality_rules": OP5_SQL, "op6_decontamination": OP6_SQL, "op7_chat_format": OP7_SQL, "op8_url_filter": OP8_SQL, "op10_substring_dedup": OP10_SQL}
