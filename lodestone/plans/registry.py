@@ -532,3 +532,61 @@ def entrypoints_union(spark, sf):
 def json_output(spark, sf):
     n = table(spark, sf, "nation")
     return n.select("n_nationkey", F.to_json(F.struct(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))).alias("json"))
+
+
+@query(
+    """WITH s AS (SELECT o_orderpriority AS name, o_custkey AS path, o_orderkey AS line, CASE WHEN o_orderstatus = 'F' THEN 'class' ELSE 'object' END AS kind FROM orders)
+    SELECT c.name, c.path, c.line AS of_line, min(o.line) AS line FROM s c JOIN s o ON c.name = o.name AND c.path = o.path AND c.kind = 'class' AND o.kind = 'object' GROUP BY ALL"""
+)
+def companion(spark, sf):
+    """Orders as symbols: customer as file, priority as name; finished ones are classes, the others objects."""
+    o = table(spark, sf, "orders")
+    s = o.select(F.col("o_orderpriority").alias("name"), F.col("o_custkey").alias("path"), F.col("o_orderkey").alias("line"), F.when(F.col("o_orderstatus") == "F", "class").otherwise("object").alias("kind"), F.lit("p").alias("package"), F.lit("").alias("signature"))
+    return lookup.companion(s, s.where("kind = 'class'")).select("name", "path", "of_line", "line")
+
+
+@query("SELECT count(DISTINCT (user_id, event_type)) AS suites, count(*) FILTER (value <= 100) AS tests, count(*) FILTER (value > 100) AS dynamic_sites FROM events")
+def suite_counts(spark, sf):
+    """Users as files, event types as suites, large values as computed names."""
+    e = table(spark, sf, "events").select(F.col("user_id").alias("path"), F.col("event_type").alias("suite"), F.lit(1).alias("suite_line"), (F.col("value") > 100).alias("is_dynamic"))
+    return summary.suites(e)
+
+
+@query(f"WITH {TRADE_SQL} SELECT count(*) AS edges, count(DISTINCT src) AS packages FROM trade WHERE src <> dst")
+def package_graph_totals(spark, sf):
+    e = trade(spark, sf)
+    imp = e.select(F.col("src").alias("path"), F.concat(F.col("dst"), F.lit(".X")).alias("import_text"))
+    files = table(spark, sf, "nation").select(F.col("n_name").alias("path"), F.col("n_name").alias("package"))
+    return summary.api_totals(imports.package_graph(imp, files))
+
+
+@query(
+    """WITH s AS (SELECT 'region.' || n_regionkey || '.' || lower(n_name) AS package, c_name AS name FROM customer JOIN nation ON c_nationkey = n_nationkey),
+    t AS (SELECT package, CASE WHEN ends_with(package, '.nation_1') THEN 1 WHEN contains(package, 'nation_1') THEN 2 END AS tier, count(DISTINCT name) AS names FROM s GROUP BY package)
+    SELECT package FROM t WHERE tier IS NOT NULL ORDER BY tier, names DESC, package LIMIT 1"""
+)
+def package_match(spark, sf):
+    """The best match of a package name; several only contain it, one ends with it."""
+    c, n = table(spark, sf, "customer"), table(spark, sf, "nation")
+    s = c.join(n, c.c_nationkey == n.n_nationkey).select(F.concat(F.lit("region."), "n_regionkey", F.lit("."), F.lower("n_name")).alias("package"), F.col("c_name").alias("name"))
+    return lookup.package_match(s, "NATION_1")
+
+
+@query(
+    f"""WITH {FAMILY_SQL} SELECT child, parent FROM family QUALIFY row_number() OVER (PARTITION BY parent ORDER BY child) <= 5"""
+)
+def impl_limit(spark, sf):
+    """The first implementations of each type."""
+    return lookup.per_group(family(spark, sf), ["parent"], [F.col("child")], 5)
+
+
+@query(
+    f"""WITH {PARTS_SQL}, s AS (SELECT DISTINCT o_custkey AS path, l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+    SELECT name, path FROM parts WHERE package = 'brand#13' AND CAST(path AS BIGINT) IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 50) AND contains(lower(signature), 'brass')
+    UNION ALL SELECT name, path FROM parts WHERE package = 'brand#13' AND CAST(path AS BIGINT) IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 50) AND NOT contains(lower(signature), 'brass') AND line > 25"""
+)
+def ast_pattern(spark, sf):
+    """Symbols of one package that have a member of a kind, and a text or a size: semi-joins and predicates in conjunction."""
+    s = symbols(spark, sf).where("package = 'brand#13'")
+    member = table(spark, sf, "lineitem").where("l_quantity >= 50").select(F.lpad(F.col("l_partkey").cast("string"), 8, "0").alias("path")).distinct()
+    return s.join(member, "path", "left_semi").where(F.lower("signature").contains("brass") | (F.col("line") > 25)).select("name", "path")
