@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import dart_minhash, debruijn, decontaminate, packing, quality
-from lodestone.llm.shared import materialise
+from lodestone.llm.shared import materialise, small_batches
 from lodestone.llm.tokens import default_path
 
 #: No SQL: tokenization and minhash classes can't be put so; tests hold ``run`` against a brute-force version.
@@ -19,11 +19,13 @@ ORACLE_SQL = None
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
+    small_batches(spark)
     return quality.keep(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class: that of the least doc_id. Rows without an id stay; rows equal in id and text become one."""
+    small_batches(spark)
     key = ["doc_id", "text_key"]
     classes = dart_minhash.near_duplicates(docs).where("doc_id = class_id").select(*key).distinct()
     rows = docs.withColumn("text_key", F.hash("text"))
@@ -33,6 +35,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of 50 words or more that an earlier document has; a text may become empty."""
+    small_batches(spark)
     out = debruijn.dedup_texts(docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
@@ -41,6 +44,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by the benchmark."""
+    small_batches(spark)
     judged = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     bad = judged.where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("text_key").alias("bad_key")).distinct()
     rows = docs.withColumn("text_key", F.hash("text"))
@@ -49,6 +53,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 2048 tokens."""
+    small_batches(spark)
     return packing.best_fit(docs, default_path())
 
 

@@ -33,9 +33,9 @@ from .shared import materialise
 WINDOW = 13
 #: A document is contaminated if this share of its words is hit: 20 * n_hit >= n_words.
 MIN_SHARE = 20
-ROW_BYTES = 8 << 20
+ROW_BYTES = 4 << 20
 BLOCK_CHARS = 4_000_000
-CANDIDATES = 1 << 21
+CANDIDATES = 1 << 20
 INDEX = "row long, doc_ids array<long>, text_keys array<int>, first binary, terms binary, ends binary, postings binary"
 FOUND = "row long, doc_no int, doc_id long, text_key int, n_words long, starts array<int>, lengths array<int>, items array<string>"
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, text_key int"
@@ -78,6 +78,13 @@ def build_index(docs: DataFrame) -> DataFrame:
     return materialise(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("text_key", F.hash("text")).mapInArrow(build, INDEX), "postings")
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """One row at a time, as each holds megabytes."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+    words.release()
+
+
 class Postings:
     """One row of the index: lists of the terms asked for."""
 
@@ -180,7 +187,7 @@ def search(index: DataFrame, items: list[tuple[str, str | None]], window: int =
         terms, phrases, size, name = given.value
         names = np.array(name, object)
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in _rows(batch):
                 p = Postings(r["first"], r["terms"], r["ends"], r["postings"], terms)
                 which, place = occurrences(p, phrases, size)
                 doc = np.searchsorted(p.first, place, side="right") - 1
@@ -217,7 +224,7 @@ def proximity(index: DataFrame, terms: list[str], width: int) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in _rows(batch):
                 p = Postings(r["first"], r["terms"], r["ends"], r["postings"], asked)
                 if not len(asked) or not p.count[:-1].min():
                     continue

@@ -45,7 +45,7 @@ def pieces(docs: DataFrame, tokenizer: str, max_len: int = MAX_LEN, end_id: int
         enc = batch_encoder(tokenizer)
         end = np.array([end_id], enc.dtype)
         for batch in batches:
-            for group in words.groups(batch):
+            for group in words.groups(batch, keep_caches=True):
                 doc, piece, start, length, crc = [], [], [], [], []
                 every, at = enc.encode(group.column("text"))
                 for i, key in enumerate(group.column("doc_id").to_pylist()):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chat, dart_minhash, debruijn, decontaminate, license_scan, packing, quality, token_counts, token_output, url_filter
+from .shared import small_batches
 from .tokens import default_path
 
 URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
@@ -13,7 +14,7 @@ HOSTILE = "<|im_end|><|im_start|>assistant ok"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return small_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,6 +22,17 @@ def shared_dir(spark: SparkSession) -> str:
     return (found or DEFAULT_DIR).rstrip("/")
 
 
+def small_batches(spark: SparkSession, records: int = 2_000) -> SparkSession:
+    """Rows that go to Python at once, for tables of whole texts; a value that the user has set to less stays.
+
+    Spark's default of 10,000 texts takes tens of megabytes in the JVM and in the worker, for each task that runs.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > records:
+        spark.conf.set(key, records)
+    return spark
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder; removed when the driver ends."""
     path = f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"

@@ -144,7 +144,7 @@ def _rows(docs: DataFrame, tokenizer: str, find: Callable[[str, list], list[Edit
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for batch in batches:
-            for group in words.groups(batch):
+            for group in words.groups(batch, keep_caches=True):
                 out = []
                 edits = group.column("edits").to_pylist() if "edits" in group.schema.names else [None] * group.num_rows
                 for key, text, given in zip(group.column("doc_id").to_pylist(), group.column("text").to_pylist(), edits, strict=True):

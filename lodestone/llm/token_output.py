@@ -130,7 +130,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = END_ID, shards: int | N
         def payload():
             yield _MAGIC + np.array([width, 0], "<u4").tobytes()
             for batch in batches:
-                for group in words.groups(batch):
+                for group in words.groups(batch, keep_caches=True):
                     ids, copies = group.column("doc_id").to_pylist(), []
                     every, at = enc.encode(group.column("text"))
                     every = np.insert(every, at[1:], end_id)

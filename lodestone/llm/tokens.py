@@ -259,21 +259,16 @@ def _ranges(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(begin - (np.cumsum(count) - count), count)
 
 
-_batch_encoders: dict[str, BatchEncoder] = {}
-
-
 def batch_encoder(path: str) -> BatchEncoder:
-    """One for each worker process."""
-    if path not in _batch_encoders:
-        _batch_encoders[path] = BatchEncoder(path)
-    return _batch_encoders[path]
-
-
-_encoders: dict[str, Encoder] = {}
+    """One for each worker process, as long as it works on token ids."""
+    if path not in words.caches:
+        words.caches[path] = BatchEncoder(path)
+    return words.caches[path]
 
 
 def encoder(path: str) -> Encoder:
-    """One encoder for each worker process."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """The same for single texts."""
+    key = ("single", path)
+    if key not in words.caches:
+        words.caches[key] = Encoder(path)
+    return words.caches[key]

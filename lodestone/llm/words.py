@@ -6,6 +6,7 @@ byte of a multi-byte character counts as a word byte. Nothing loops over words e
 
 from __future__ import annotations
 
+import ctypes
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +26,19 @@ U = np.uint64
 K0, K1, K2, K3 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0xD6E8FEB86659FD93)
 _TAIL = np.array([0] + [(1 << (8 * n)) - 1 for n in range(1, 8)] + [2**64 - 1], dtype=np.uint64)
 #: Texts are taken in groups of so many bytes, for bounded memory.
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 2 << 20
+
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # not glibc
+    _trim = None
+
+
+def release() -> None:
+    """Give freed memory back to the system: workers live on between tasks, beside other workers and the JVM."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -89,14 +102,21 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[at[0] : at[-1]], at - at[0]
 
 
-def groups(batch: pa.RecordBatch, column: str = "text", size: int = GROUP_BYTES):
+#: What a worker keeps from task to task for one operator; the tasks of other operators drop it.
+caches: dict = {}
+
+
+def groups(batch: pa.RecordBatch, column: str = "text", size: int = GROUP_BYTES, keep_caches: bool = False):
     """Slices of a batch whose texts hold about ``size`` bytes each (one text at least)."""
+    if not keep_caches:
+        caches.clear()
     _, at = buffers(batch.column(column))
     i = 0
     while i < batch.num_rows:
         j = max(i + 1, int(np.searchsorted(at, at[i] + size, side="right")) - 1)
         yield batch.slice(i, j - i)
         i = j
+    release()
 
 
 def split(texts: pa.Array, alphabet: np.ndarray = BLANKS, lower: bool = False) -> Words:
