@@ -46,10 +46,13 @@ def api_surface(symbols: DataFrame, package: str, imports: DataFrame, files: Dat
     outside = outside.withColumn("from_package", F.coalesce("from_package", F.lit(""))).where(F.col("from_package") != package)
     if used_by:
         outside = outside.where(F.lower("from_package").contains(used_by.lower()))
-    by_name = outside.select("path", F.explode("names").alias("name"))
-    by_wild = outside.where("is_wildcard").select("path").distinct().crossJoin(F.broadcast(one.select("name")))  # one package's names
-    count = by_name.unionByName(by_wild.select("path", "name")).groupBy("name").agg(F.count_distinct("path").alias("importer_count"))
-    return one.join(count, "name", "left").fillna(0, ["importer_count"])
+    # Files with a wildcard count for every name: their number is added, so names and files are never paired.
+    wild = outside.where("is_wildcard").select("path").distinct()
+    by_name = outside.select("path", F.explode("names").alias("name")).join(wild, "path", "left_anti")
+    count = by_name.groupBy("name").agg(F.count_distinct("path").alias("named"))
+    every = F.broadcast(wild.agg(F.count("*").alias("every")))  # one row
+    out = one.join(count, "name", "left").join(every)
+    return out.withColumn("importer_count", F.coalesce("named", F.lit(0)) + F.col("every")).drop("named", "every")
 
 
 def package_graph(imports: DataFrame, files: DataFrame, focus: str | None = None) -> DataFrame:
