@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import dart_minhash, debruijn, decontaminate, packing, quality
-from lodestone.llm.shared import materialise, small_batches
+from lodestone.llm.shared import materialise, scratch, small_batches
 from lodestone.llm.tokens import default_path
 
 #: No SQL: tokenization and minhash classes can't be put so; tests hold ``run`` against a brute-force version.
@@ -69,5 +69,6 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch(spark):
+            docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"), keep=True)
     return docs

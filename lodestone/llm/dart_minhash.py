@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import words
 from .components import components
-from .shared import materialise
+from .shared import materialise, scratch, tidy
 
 SHINGLE, K, ROWS, THRESHOLD = 5, 160, 5, 0.8
 SIGNED = "doc_id long, text_key int, content array<long>, bands array<long>"
@@ -206,6 +206,11 @@ def _prefixes(sets: DataFrame, ids: DataFrame, threshold: float) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = K, rows: int = ROWS) -> DataFrame:
     """(doc_id, text_key, class_id) of every row of ``docs`` (doc_id, text)."""
+    with scratch(docs.sparkSession):
+        return materialise(_near_duplicates(docs, threshold, k, rows), "classes", keep=True)
+
+
+def _near_duplicates(docs: DataFrame, threshold: float, k: int, rows: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("text_key", F.hash("text"))
     signed = materialise(sign(docs, k, rows), "signed")
     # A text is known by the least (doc_id, text_key) among its copies.
@@ -217,6 +222,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = K, r
     member = materialise(member.join(shared.select("key"), "key").distinct(), "members")
     wanted = texts.groupBy("id").agg(F.min("text_key").alias("text_key")).join(member.select("id").distinct(), "id", "left_semi").withColumn("doc_id", F.col("id"))
     sets = materialise(_sets(docs.join(wanted, ["doc_id", "text_key"]).select("id", "text")).dropDuplicates(["id"]), "sets")
+    tidy(docs.sparkSession)  # the texts that were shuffled for the sets are the bulk
     classes = _Classes(sets, threshold)
     for first in (True, False):
         now = classes.groups(member)

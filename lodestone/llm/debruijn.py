@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .shared import materialise
+from .shared import materialise, scratch
 
 WINDOW, SEED = 50, 10
 PATH = "label long, content long, doc_id long, text_key int, at int, n int, reps int"
@@ -141,6 +141,11 @@ def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFram
 
     A span (at, step, count) stands for ``count`` windows, ``step`` words apart. ``docs`` comes from ``keyed``.
     """
+    with scratch(docs.sparkSession):
+        return materialise(_repeats(docs, window, seed), "spans", keep=True)
+
+
+def _repeats(docs: DataFrame, window: int, seed: int) -> DataFrame:
     found = materialise(paths(docs, window, seed), "paths")
     nodes = found.groupBy("label", "content").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
     labels = (

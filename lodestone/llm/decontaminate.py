@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .shared import materialise
+from .shared import materialise, scratch
 
 WINDOW = 13
 #: A document is contaminated if this share of its words is hit: 20 * n_hit >= n_words.
@@ -277,7 +277,11 @@ def _digest(found: DataFrame) -> DataFrame:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Hits of benchmark windows in every document: see ``RESULT``; text_key is Spark's hash of the text."""
-    index = build_index(docs)
+    with scratch(docs.sparkSession):
+        return materialise(_contamination(build_index(docs), benchmark, window, block_chars), "contamination", keep=True)
+
+
+def _contamination(index: DataFrame, benchmark: DataFrame, window: int, block_chars: int) -> DataFrame:
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.col("text").cast("string"))
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-chars // block_chars))

@@ -7,7 +7,11 @@ folder is used. Tables are written by Spark's committers, so a lost executor cos
 from __future__ import annotations
 
 import atexit
+import contextlib
+import gc
+import re
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
@@ -19,6 +23,8 @@ _made: list[tuple[SparkSession, str]] = []
 
 def shared_dir(spark: SparkSession) -> str:
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (found or DEFAULT_DIR).rstrip("/")
 
 
@@ -40,14 +46,44 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: its lineage ends there."""
+_scratch: list[list[str]] = []
+
+
+def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: its lineage ends there.
+
+    Inside ``scratch`` the table lives to the end of it, unless it is to be kept.
+    """
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
+    if _scratch and not keep:
+        _scratch[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables made inside are removed at its end, and the driver lets go of what it holds of them, so that Spark
+    deletes the shuffle files of finished steps now and not at some later collection of garbage.
+
+    What is returned from inside must be kept, as it cannot be computed afterwards.
+    """
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            remove(spark, path)
+        tidy(spark)
+
+
+def tidy(spark: SparkSession) -> None:
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or table, whatever file system holds it."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
