@@ -14,7 +14,7 @@ def test_query_equals_sql(compare, name):
 
 
 def test_near_dedup_equals_brute_force(spark):
-    from test_operators import brute_classes
+    from test_llm_operators import brute_classes
 
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = {r.doc_id: r.class_id for r in queries.op4_near_dedup(spark, SF).collect()}
@@ -24,7 +24,7 @@ def test_near_dedup_equals_brute_force(spark):
 def brute_pipeline(spark):
     """The pipeline's kept documents and their texts, by plain loops."""
     from lodestone.llm import quality
-    from test_operators import WORD, brute_classes, brute_contamination
+    from test_llm_operators import WORD, brute_classes, brute_contamination
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     good = {r.doc_id for r in quality.repetition_rules(docs).where("kept").collect()}
@@ -50,7 +50,7 @@ def brute_pipeline(spark):
 
 def test_pipeline(spark):
     import corpus_pipeline
-    from test_operators import WORD, ids
+    from test_llm_operators import WORD, ids
 
     wanted = brute_pipeline(spark)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
