@@ -35,7 +35,7 @@ from .shared import materialise
 
 START, END = "<|im_start|>", "<|im_end|>"
 LOSS_ROLE = "assistant"
-PACK_CHARS, DEPTH, HOT = 4_000_000, 6, 2_000
+PACK_CHARS, DEPTH, HOT, MAX_BROADCAST = 4_000_000, 6, 2_000, 500_000
 PACK = (
     "text string, starts array<int>, ends array<int>, positions array<int>, parents array<int>, loss_starts array<int>, loss_ends array<int>, "
     "ancestors array<array<struct<start:int,end:int>>>, convs array<struct<conv_id:long,leaf:int>>"
@@ -110,6 +110,13 @@ _ARROW = pa.schema(
 )
 
 
+def _few(hot: DataFrame) -> DataFrame:
+    """Beginnings that very many conversations share: at most one for each ``hot`` of those, so they are broadcast as long as they
+    are no more than ``MAX_BROADCAST``; a join on the beginning would bring all its conversations to one task."""
+    hot = materialise(hot, "beginnings")
+    return F.broadcast(hot) if hot.count() <= MAX_BROADCAST else hot
+
+
 def packs(conversations: DataFrame, pack_chars: int = PACK_CHARS, depth: int = DEPTH, hot: int = HOT) -> DataFrame:
     """Depth-first packs of all conversations (conv_id, turn, role, text): see ``PACK``."""
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -119,11 +126,11 @@ def packs(conversations: DataFrame, pack_chars: int = PACK_CHARS, depth: int = D
     rows = rows.select("*", *(F.max(F.when(F.col("n") == i, F.col("h"))).over(own).alias(p) for i, p in enumerate(path, 1)))
     # How many conversations begin alike; a first turn of more than ``hot`` is dealt out by the next turns, and those that
     # are alike in all of ``path`` by conversation.
-    begins = rows.where("n = 1").groupBy("p1").count().where(F.col("count") > hot).select("p1", (F.col("count") / hot).cast("int").alias("ways"))
-    rows = rows.join(begins, "p1", "left")
+    heads = materialise(rows.where("n = 1").select(*path), "heads")
+    begins = _few(heads.groupBy("p1").count().where(F.col("count") > hot).select("p1", (F.col("count") / hot).cast("int").alias("ways")))
+    deep = _few(heads.groupBy(*path).count().where(F.col("count") > hot).select(F.xxhash64(*path).alias("all"), (F.col("count") / hot).cast("int").alias("more")))
+    rows = rows.join(begins, "p1", "left").withColumn("all", F.xxhash64(*path)).join(deep, "all", "left")
     alike = F.xxhash64(*path[1:])
-    deep = rows.where("n = 1 and ways is not null").groupBy(*path).count().where(F.col("count") > hot).select(F.xxhash64(*path).alias("all"), (F.col("count") / hot).cast("int").alias("more"))
-    rows = rows.withColumn("all", F.xxhash64(*path)).join(deep, "all", "left")
     rows = rows.withColumn("tree", F.xxhash64("p1", F.when(F.col("ways").isNotNull(), F.pmod(alike, F.col("ways") + 1)), F.when(F.col("more").isNotNull(), F.pmod(F.xxhash64("conv_id"), F.col("more") + 1))))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
