@@ -177,3 +177,8 @@ def test_licence_bounds():
         grams = license_scan.bigrams(text)
         free = sum(not any(k in g for k in keys) for g in grams)
         assert free < license_scan.bounds(len(grams), 0.8)[0]
+
+
+def test_licence_bounds_are_exact():
+    for b in range(1, 500):
+        assert license_scan.bounds(b, 0.8) == (-(-2 * b // 3), 3 * b // 2)
