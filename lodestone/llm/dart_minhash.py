@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -145,9 +146,10 @@ def _sets(docs: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Adds whether the exact similarity of a and b reaches ``threshold``."""
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("elements").alias("eb")), "b").join(sets.select(F.col("id").alias("a"), F.col("elements").alias("ea")), "a")
-    common = F.size(F.array_intersect("ea", "eb"))
-    # c / (x + y - c) >= t, without a division
-    return both.select("a", "b", (common * (1 + threshold) >= threshold * (F.size("ea") + F.size("eb"))).alias("linked"))
+    common = F.size(F.array_intersect("ea", "eb")).cast("long")
+    # c / (x + y - c) >= p / q, in integers, so that a pair at the threshold is linked
+    p, q = Fraction(str(threshold)).as_integer_ratio()
+    return both.select("a", "b", (common * (p + q) >= p * (F.size("ea") + F.size("eb")).cast("long")).alias("linked"))
 
 
 class _Classes:
@@ -170,7 +172,7 @@ class _Classes:
 
     def pairs(self, led: DataFrame, leaders: DataFrame) -> DataFrame:
         """(a, b) of leaders and other members of their groups, of other classes and of sizes that allow a link. A pair that is judged already is left out."""
-        fits = (F.least("n", "na") >= self.threshold * F.greatest("n", "na")) & (F.col("a") < F.col("id")) & (F.col("ca") != F.col("component"))
+        fits = (F.least("n", "na") >= self.threshold * F.greatest("n", "na") - 1e-6) & (F.col("a") < F.col("id")) & (F.col("ca") != F.col("component"))
         chief = leaders.select("key", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), *([F.col("at").alias("at_a")] if "at" in led.columns else []))
         if "at" in led.columns:
             # If this is the first shingle that both have, no more than what follows it in either is common. (If it is not, the pair

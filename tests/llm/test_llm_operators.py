@@ -231,6 +231,24 @@ def test_near_duplicates_of_a_large_group(spark, seed):
     assert {r.doc_id: r.class_id for r in got.collect()} == brute_classes(rows)
 
 
+def test_near_duplicates_at_the_threshold(spark):
+    """Texts of exactly 0.8: a text and its beginning (n of 5n/4 shingles), two with n of 9n/8 in common; and beginnings one short of it."""
+    rows, wanted = [], {}
+
+    def pair(name, length, common, rest=0):
+        i, w = len(rows), [f"{name}{j}" for j in range(length + 4)]
+        rows.extend([(i, " ".join(w)), (i + 1, " ".join(w[: common + 4] + [f"{name}r{j}" for j in range(rest)]))])
+        wanted.update({i: i, i + 1: i if 5 * common >= 4 * (length + rest) else i + 1})
+
+    for n in (28, 56, 92, 112, 132, 184):
+        pair(f"a{n}x", 5 * n // 4, n)
+        pair(f"b{n}x", 5 * n // 4, n - 1)
+        if n % 8 == 0:
+            pair(f"c{n}x", 9 * n // 8, n, n // 8)
+    got = dart_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.class_id for r in got.collect()} == brute_classes(rows) == wanted
+
+
 def test_components(spark):
     pairs = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7), (50, 49), (49, 50)]
     got = {r.id: r.component for r in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
