@@ -9,9 +9,9 @@ conversations with equal beginnings follow each other, and each turn is emitted
 conversation leaves the path of the one before. One output row holds a *pack*: the formatted text of whole trees or of parts of a
 large one, and for each node its place, the position id of its first character (as if its ancestors alone stood before it), its parent, and the
 intervals of its ancestors, to which attention is limited. A pack ends at ``PACK_CHARS``; a tree that goes on in another pack
-repeats there the turns of the current path only. Shared beginnings are merged up to ``DEPTH`` turns wherever the conversations
-stand, and beyond that with the conversation before. A first turn that more than ``HOT`` conversations share is dealt out by the
-turns that follow.
+repeats there the turns of the current path only. Conversations are ordered by all their turns, so shared beginnings of any length follow each
+other. A first turn that more than ``HOT`` conversations share is dealt out by ranges of that order, of about as many each (larger ones beyond
+``MAX_RANGES``); only the turns of the path on which a range begins are repeated.
 
 Position ids and intervals count characters; ``spans`` in tokens follow by encoding each node apart, as nodes begin and end at
 control strings.
@@ -35,7 +35,7 @@ from .shared import materialise
 
 START, END = "<|im_start|>", "<|im_end|>"
 LOSS_ROLE = "assistant"
-PACK_CHARS, DEPTH, HOT, MAX_BROADCAST = 4_000_000, 6, 2_000, 500_000
+PACK_CHARS, HOT, MAX_RANGES, MAX_BROADCAST = 4_000_000, 2_000, 2_000, 500_000
 PACK = (
     "text string, starts array<int>, ends array<int>, positions array<int>, parents array<int>, loss_starts array<int>, loss_ends array<int>, "
     "ancestors array<array<struct<start:int,end:int>>>, convs array<struct<conv_id:long,leaf:int>>"
@@ -117,21 +117,20 @@ def _few(hot: DataFrame) -> DataFrame:
     return F.broadcast(hot) if hot.count() <= MAX_BROADCAST else hot
 
 
-def packs(conversations: DataFrame, pack_chars: int = PACK_CHARS, depth: int = DEPTH, hot: int = HOT) -> DataFrame:
-    """Depth-first packs of all conversations (conv_id, turn, role, text): see ``PACK``."""
+def packs(conversations: DataFrame, pack_chars: int = PACK_CHARS, depth: int | None = None, hot: int = HOT) -> DataFrame:
+    """Depth-first packs of all conversations (conv_id, turn, role, text): see ``PACK``. ``depth`` is without effect and kept for callers."""
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    own = Window.partitionBy("conv_id")
-    rows = rows.withColumn("n", F.row_number().over(own.orderBy("turn", "role", "text"))).withColumn("h", F.xxhash64("role", "text"))
-    path = [f"p{i}" for i in range(1, depth + 1)]
-    rows = rows.select("*", *(F.max(F.when(F.col("n") == i, F.col("h"))).over(own).alias(p) for i, p in enumerate(path, 1)))
-    # How many conversations begin alike; a first turn of more than ``hot`` is dealt out by the next turns, and those that
-    # are alike in all of ``path`` by conversation.
-    heads = materialise(rows.where("n = 1").select(*path), "heads")
-    begins = _few(heads.groupBy("p1").count().where(F.col("count") > hot).select("p1", (F.col("count") / hot).cast("int").alias("ways")))
-    deep = _few(heads.groupBy(*path).count().where(F.col("count") > hot).select(F.xxhash64(*path).alias("all"), (F.col("count") / hot).cast("int").alias("more")))
-    rows = rows.join(begins, "p1", "left").withColumn("all", F.xxhash64(*path)).join(deep, "all", "left")
-    alike = F.xxhash64(*path[1:])
-    rows = rows.withColumn("tree", F.xxhash64("p1", F.when(F.col("ways").isNotNull(), F.pmod(alike, F.col("ways") + 1)), F.when(F.col("more").isNotNull(), F.pmod(F.xxhash64("conv_id"), F.col("more") + 1))))
+    rows = rows.withColumns({"k": F.coalesce("conv_id", F.lit(0)), "none": F.col("conv_id").isNull()})
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("k", "none").orderBy("turn", "role", "text")))
+    # All conversations in the order of their whole paths of turns, cut into ranges; a first turn of more than ``hot`` is dealt out by those.
+    told_turns = F.array_sort(F.collect_list(F.struct("n", F.xxhash64("role", "text").alias("h"))))
+    heads = materialise(rows.groupBy("k", "none").agg(F.transform(told_turns, lambda x: x.h).alias("path")), "heads")
+    ranges = min(heads.count() // hot + 1, MAX_RANGES)
+    order = heads.repartitionByRange(ranges, "path", "k", "none").sortWithinPartitions("path", "k", "none")
+    order = materialise(order.select("k", "none", F.get("path", F.lit(0)).alias("p1"), F.monotonically_increasing_id().alias("place"), F.spark_partition_id().alias("range")), "order")
+    begins = _few(order.groupBy("p1").count().where(F.col("count") > hot).select("p1", F.lit(True).alias("dealt")))
+    tree = F.xxhash64("p1", F.when(F.col("dealt"), F.col("range")))
+    rows = rows.join(order.join(begins, "p1", "left").select("k", "none", "place", tree.alias("tree")), ["k", "none"])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack, path, now, tree = _Pack(), [], object(), None  # path: (node, role, text) of the conversation under way
@@ -159,7 +158,7 @@ def packs(conversations: DataFrame, pack_chars: int = PACK_CHARS, depth: int = D
             pack.convs.append((conv[0], path[matched - 1][0][0]))
             yield told(pack)
 
-    dealt = rows.repartition("tree").sortWithinPartitions("tree", *path, "conv_id", "n").select("tree", "conv_id", "role", "text")
+    dealt = rows.repartition("tree").sortWithinPartitions("tree", "place", "n").select("tree", "conv_id", "role", "text")
     return dealt.mapInArrow(emit, PACK)
 
 

@@ -308,6 +308,22 @@ def test_chat_shares_turns(spark):
             assert p.positions[i] == sum(b - a for a, b in above)
 
 
+def test_chat_shares_turns_of_dealt_trees(spark):
+    """A system prompt of all, ten second turns of ten conversations each, which go on alike up to the sixth turn."""
+    rows = [(c, t, "user", "system" if t == 0 else f"turn {t} of {c % 10}" if t < 5 else f"last {c}") for c in range(100) for t in range(6 + c % 3)]
+    packs = chat.packs(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), hot=10).collect()
+    text = "".join(p.text for p in packs)
+    assert 1 < text.count("system") <= 11
+    for t in range(1, 5):
+        assert text.count(f"turn {t} of ") <= 10 + 10  # each once, and again where one of 11 ranges begins
+
+
+def test_chat_shares_deep_turns(spark):
+    rows = [(c, t, "user", f"turn {t}" if t < 8 else f"branch {c % 2}" if t == 8 else f"last {c}") for c in range(40) for t in range(10)]
+    text = "".join(p.text for p in chat.packs(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect())
+    assert text.count("branch 0") == text.count("branch 1") == 1
+
+
 def test_urls(spark):
     urls = [None, "", "no scheme", "http://", "HTTP://WWW.Example.COM/en/x?q#f", "https://x.net/fr/1", "https://net/es/", "https://xnet/es/", "ftp://a.com", "http://a.com?x=/y", "http://a.com#/y", "http://ex.com/a://b/"]
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)] + [(None, "http://a.com/", "x")], "page_id long, url string, host string")
