@@ -281,6 +281,14 @@ def package_symbols(spark, sf):
     return lookup.limited(own.orderBy("name", "path"), 50).select("name", "kind", "path")
 
 
+@query(f"WITH {PARTS_SQL} SELECT name, kind, path FROM parts WHERE package = 'brand#13' ORDER BY name, path LIMIT 50")
+def package_symbols_all(spark, sf):
+    """The first symbols of the whole package; ``package_symbols`` looks at the paths below 500 alone."""
+    s = symbols(spark, sf)
+    own = s.join(F.broadcast(lookup.package_match(s, "BRAND#13")), "package", "left_semi")
+    return lookup.limited(own.orderBy("name", "path"), 50).select("name", "kind", "path")
+
+
 @query(f"WITH {PARTS_SQL}, f AS (SELECT DISTINCT path FROM parts WHERE contains(path, '12')) SELECT path, CASE WHEN starts_with(path, '12') THEN 2 ELSE 3 END AS tier FROM f ORDER BY tier, path LIMIT 30")
 def file_search(spark, sf):
     return lookup.limited(lookup.file_search(symbols(spark, sf), "12").where("tier < 5"), 30)

@@ -10,6 +10,15 @@ def test_query_equals_sql(compare, name):
     assert got == wanted
 
 
+def test_package_symbols_of_all_paths(spark, tmp_path):
+    """A package whose first names lie beyond path 500."""
+    part = spark.read.parquet(f"{SF}/part.parquet").limit(1)
+    rows = part.drop("p_partkey", "p_brand", "p_name").crossJoin(spark.range(440, 560).selectExpr("id AS p_partkey", "'Brand#13' AS p_brand", "concat('n', lpad(cast(1000 - id AS string), 3, '0')) AS p_name"))
+    rows.write.parquet(f"{tmp_path}/part.parquet")
+    got = [r.path for r in registry.QUERIES["package_symbols_all"](spark, str(tmp_path)).collect()]
+    assert got == [f"{i:08d}" for i in range(559, 509, -1)]
+
+
 def test_entry_runs(spark):
     import __spark_entry__ as entry
 
