@@ -6,6 +6,8 @@ joins, each round cut off by a checkpoint where the session has a folder for it.
 
 from __future__ import annotations
 
+import itertools
+import re
 import uuid
 
 from pyspark.sql import DataFrame
@@ -15,8 +17,11 @@ MAX_DEPTH = 5
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a loop in the folder that all executors share; without one, plans just grow with the rounds."""
-    return df.checkpoint(eager=True) if df.sparkSession.sparkContext.getCheckpointDir() or df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir") else df
+    """Cut the lineage of a loop in the folder that all executors share; without one, in the driver's own process if that is all there is, else plans grow with the rounds."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir"):
+        return df.checkpoint(eager=True)
+    return df.localCheckpoint(eager=True) if re.match(r"local(\[|$)", context.master) else df
 
 
 def walk(edges: DataFrame, root: str, depth: int = MAX_DEPTH, down: bool = False) -> DataFrame:
@@ -55,11 +60,11 @@ def truncated(edges: DataFrame, tree: DataFrame, depth: int) -> DataFrame:
     return met.groupBy("node", "path").agg(F.count("*").alias("hidden"))
 
 
-def reach(edges: DataFrame, roots: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
-    """(node, depth): the least number of edges from any of ``roots`` (node); each node once. ``edges``: (src, dst)."""
+def reach(edges: DataFrame, roots: DataFrame, depth: int | None = MAX_DEPTH) -> DataFrame:
+    """(node, depth): the least number of edges from any of ``roots`` (node); each node once. ``edges``: (src, dst). Without a ``depth``, all that can be reached."""
     seen = roots.select("node").distinct().withColumn("depth", F.lit(0))
     front, hops = seen, edges.select("src", "dst").distinct()
-    for d in range(1, max(1, min(depth, MAX_DEPTH)) + 1):
+    for d in itertools.count(1) if depth is None else range(1, max(1, depth) + 1):
         front = hops.join(front.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
         front = _cut(front.join(seen, "node", "left_anti").withColumn("depth", F.lit(d)))
         if front.isEmpty():
@@ -68,7 +73,7 @@ def reach(edges: DataFrame, roots: DataFrame, depth: int = MAX_DEPTH) -> DataFra
     return seen
 
 
-def inherited(members: DataFrame, edges: DataFrame, root: str, depth: int = MAX_DEPTH) -> DataFrame:
+def inherited(members: DataFrame, edges: DataFrame, root: str, depth: int | None = None) -> DataFrame:
     """(name, kind, from_owner): members of all ancestors that ``root`` itself does not define. ``members``: (owner, name, kind).
 
     Ancestors do not hide each other.

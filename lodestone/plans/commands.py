@@ -378,7 +378,7 @@ def members(ctx: Context, args: list[str]) -> Result:
     own = t.members.join(keyed, ["path", "owner", "owner_kind"], "left_semi").withColumn("inherited", F.lit(False))
     name = args[0].rpartition(".")[2].lower()
     if f.inherited:
-        above = hierarchy.reach(_type_graph(ctx).select(F.col("child").alias("src"), F.col("parent").alias("dst")), ctx.spark.createDataFrame([(name,)], "node string")).where("depth > 0")
+        above = hierarchy.reach(_type_graph(ctx).select(F.col("child").alias("src"), F.col("parent").alias("dst")), ctx.spark.createDataFrame([(name,)], "node string"), None).where("depth > 0")
         theirs = t.members.join(above.select(F.col("node").alias("_o"), "depth"), F.lower("owner") == F.col("_o")).drop("_o")
         redefined = theirs.select("name", "kind", F.lit(True).alias("_up")).distinct()
         own = own.join(redefined, ["name", "kind"], "left").withColumn("is_override", F.col("is_override") | F.coalesce("_up", F.lit(False))).drop("_up")

@@ -22,6 +22,13 @@ def test_reach_visits_once(spark):
     assert got == {"a": 0, "b": 1, "c": 1}
 
 
+def test_inherited_from_all_ancestors(spark):
+    """Eight levels and a cycle at the top."""
+    e = edges(spark, [(f"t{i}", f"t{i + 1}") for i in range(8)] + [("t8", "t3")])
+    members = spark.createDataFrame([(f"t{i}", f"m{i}", "def") for i in range(9)] + [("t8", "m0", "def")], "owner string, name string, kind string")
+    assert {r.name: r.from_owner for r in hierarchy.inherited(members, e, "t0").collect()} == {f"m{i}": f"t{i}" for i in range(1, 9)}
+
+
 def test_acyclic_and_levels(spark):
     chain = edges(spark, [("a", "b"), ("b", "c"), ("a", "c")], "src string, dst string")
     assert hierarchy.is_acyclic(chain)
