@@ -9,7 +9,7 @@ in each of which arrivals follow one another with exponential gaps; the producti
 plain Jaccard similarity of shingle sets, and ``weights="count"`` takes multiplicities.
 
 Classes. Copies (equal word sequences) collapse first, so later steps see different texts only. Coordinates are banded
-(32 bands of 5: a pair at similarity 0.8 is missed with probability 3e-6). No bucket is expanded into pairs. Each text is first verified,
+(32 bands of 4: a pair at similarity 0.8 is missed with probability 5e-8). No bucket is expanded into pairs. Each text is first verified,
 exactly on the shingle sets, against the leader (least member) that it meets in most buckets; then, where a bucket still holds two classes,
 members against the leader of another class. Buckets that hold two classes even then, as those of a much-copied passage do, are settled
 by an exact way: their texts are joined on the rarest fifth of their shingles, in one of which two texts at the threshold must meet (prefix filter with positions),
@@ -37,7 +37,7 @@ from . import words
 from .components import components
 from .shared import materialise, scratch, tidy
 
-SHINGLE, K, ROWS, THRESHOLD = 5, 160, 5, 0.8
+SHINGLE, K, ROWS, THRESHOLD = 5, 128, 4, 0.8
 SIGNED = "doc_id long, text_key int, content array<long>, bands array<long>"
 GROUP = 2 << 20
 
