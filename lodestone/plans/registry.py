@@ -242,6 +242,24 @@ def search_ranked(spark, sf):
     return lookup.limited(hit.orderBy(*lookup.search_order()), 20).select("name", "path", "line", "tier")
 
 
+@query()
+def search_all_tiers(spark, sf):
+    """All five tiers, without SQL: DuckDB cannot express the camel-case match. Tests hold it against a brute-force version."""
+    return lookup.search(symbols(spark, sf), "CR").select("name", "path", "line", "package", "tier")
+
+
+@query()
+def search_all_ranked(spark, sf):
+    return lookup.limited(lookup.search(symbols(spark, sf), "CR").orderBy(*lookup.search_order()), 20).select("name", "path", "line", "tier")
+
+
+@query()
+def file_search_all(spark, sf):
+    """Names as file names, by all tiers."""
+    names = symbols(spark, sf).select(F.concat(F.lit("src/"), "name", F.lit(".scala")).alias("path"))
+    return lookup.limited(lookup.file_search(names, "CR"), 30)
+
+
 @query(f"WITH {PARTS_SQL} SELECT name, path FROM parts WHERE length(name) > 0 AND regexp_matches(name, '^C[^A-Z]*R') AND upper(substr(name, 1, 1)) = 'C'")
 def search_camel(spark, sf):
     """Camel-case match alone. Names here have two segments, so a simple pattern says the same."""
