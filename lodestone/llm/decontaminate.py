@@ -98,7 +98,7 @@ class Postings:
         self.count = np.zeros(len(asked) + 1, np.int64)
         self.count[there] = ends_[at[there]] - begin[at[there]]
         self.list_at = np.concatenate([[0], np.cumsum(self.count)])
-        pick = _ranges(begin[at[there]], self.count[there])
+        pick = words.ranges(begin[at[there]], self.count[there])
         term = np.repeat(there, self.count[there])
         values = steps[pick]
         total = np.cumsum(values)
@@ -109,15 +109,6 @@ class Postings:
         self.term_at[self.positions] = term
 
 
-def _ranges(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """All of ``begin[i] .. begin[i] + count[i] - 1``, joined."""
-    total = int(count.sum())
-    if not total:
-        return np.zeros(0, np.int64)
-    before = np.cumsum(count) - count
-    return np.arange(total) + np.repeat(begin - before, count)
-
-
 def occurrences(p: Postings, phrases: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(phrase, place) of each occurrence. ``phrases``: term numbers, a row each, the number past the last as padding."""
     width = phrases.shape[1]
@@ -135,7 +126,7 @@ def occurrences(p: Postings, phrases: np.ndarray, size: np.ndarray) -> tuple[np.
         a, o = alive[begin:end], order[begin:end]
         lead = phrases[a, o[:, 0]]
         which = np.repeat(np.arange(len(a)), p.count[lead])
-        place = p.positions[_ranges(p.list_at[lead], p.count[lead])] - o[which, 0]
+        place = p.positions[words.ranges(p.list_at[lead], p.count[lead])] - o[which, 0]
         doc = np.searchsorted(p.first, np.maximum(place, 0), side="right") - 1
         ok = (place >= 0) & (place >= p.first[doc]) & (place + size[a[which]] <= p.first[np.minimum(doc + 1, len(p.first) - 1)])
         which, place = which[ok], place[ok]

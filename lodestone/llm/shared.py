@@ -46,6 +46,19 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def free_name(taken: list[str], name: str) -> str:
+    """``name``, with underscores behind it until no column of ``taken`` is called so, in whatever case."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 _scratch: list[list[str]] = []
 
 

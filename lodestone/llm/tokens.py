@@ -190,7 +190,7 @@ class BatchEncoder:
         h1, h2, old = self.key1[used], self.key2[used], self.entry[used]
         begin, count, flat = self.begin[old], self.count[old], self.flat
         self._clear()
-        self.flat = flat[_ranges(begin, count)]
+        self.flat = flat[words.ranges(begin, count)]
         self.count = count
         self.begin = np.cumsum(count) - count
         self.again = np.zeros(len(count), bool)
@@ -244,21 +244,13 @@ class BatchEncoder:
         if len(long):
             entry[long] = self._add([raw[a:b] for a, b in zip(begin[long].tolist(), end[long].tolist(), strict=True)])
         count = self.count[entry].astype(np.int64)
-        ids = self.flat[_ranges(self.begin[entry], count)]
+        ids = self.flat[words.ranges(self.begin[entry], count)]
         if len(long):  # not to be kept
             self.begin, self.count, self.again, self.flat = self.begin[: keep[0]], self.count[: keep[0]], self.again[: keep[0]], self.flat[: keep[1]]
         total = np.concatenate([[0], np.cumsum(count)])
         return ids, total[w.first]
 
 
-def _ranges(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """All of ``begin[i] .. begin[i] + count[i] - 1``, joined."""
-    total = int(count.sum())
-    if not total:
-        return np.zeros(0, np.int64)
-    return np.arange(total) + np.repeat(begin - (np.cumsum(count) - count), count)
-
-
 def batch_encoder(path: str) -> BatchEncoder:
     """One for each worker process, as long as it works on token ids."""
     if path not in words.caches:

@@ -91,6 +91,25 @@ class Words:
         return mix(h)
 
 
+def ranges(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """All of ``begin[i] .. begin[i] + count[i] - 1``, joined."""
+    total = int(count.sum())
+    if not total:
+        return np.zeros(0, np.int64)
+    return np.arange(total) + np.repeat(begin - (np.cumsum(count) - count), count)
+
+
+def spaced(w: Words) -> tuple[bytes, np.ndarray]:
+    """The words of a group joined by single spaces, and where each begins: runs of equal words are equal bytes there."""
+    size = w.end - w.start
+    at = np.cumsum(size + 1) - (size + 1)
+    out = np.full(int((size + 1).sum()), 0x20, np.uint8)
+    inside = np.ones(len(out), bool)
+    inside[at + size] = False
+    out[inside] = w.data[ranges(w.start, size)]
+    return out.tobytes(), at
+
+
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of an Arrow string array, and where each text begins; null is empty."""
     texts = texts.cast(pa.large_string()).fill_null("")

@@ -6,9 +6,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
-from lodestone.llm import chat, components, dart_minhash, debruijn, decontaminate, license_scan, packing, quality, token_counts, token_output, url_filter
+from lodestone.llm import chat, components, dart_minhash, debruijn, decontaminate, license_scan, packing, quality, token_counts, token_output, url_filter, words
 from lodestone.llm.tokens import default_path
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 DOCS = "doc_id long, text string, lang string, spans int, text_key string"
@@ -113,8 +115,9 @@ def test_substring_dedup(spark):
     docs, rows = hostile(spark)
     assert digest(debruijn.dedup_digest(docs)) == brute_repeats(rows)
     assert debruijn.dedup_digest(empty(spark)).count() == 0
-    with pytest.raises(ValueError):
-        debruijn.dedup_texts(docs)
+    clash = debruijn.dedup_texts(docs.withColumn("N_Removed", F.lit("mine")))
+    assert clash.columns == [*docs.columns, "N_Removed", "n_removed_"]
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_removed_, r.spans, r.text_key, r.N_Removed) for r in clash.collect()) == [(i, n, 7, "k", "mine") for i, _, n, _ in brute_repeats(rows)]
     slim = docs.select("doc_id", "lang", "text")
     out = debruijn.dedup_texts(slim)
     assert out.columns == ["doc_id", "lang", "text", "n_removed"]
@@ -124,6 +127,26 @@ def test_substring_dedup(spark):
     assert all(same[i] == t for i, t in rows if i in same and i not in (None, 13, 14))
 
 
+def test_substring_dedup_of_repeated_rows(spark):
+    """A thousand equal rows, and as many of a later text that holds theirs and of one that branches off inside it."""
+    base = [f"w{i % 97}x{i % 53}" for i in range(120)]
+    texts = {1: base, 2: ["q"] * 30 + base + ["r"] * 30, 3: base[:70] + ["odd"] + base[71:]}
+    rows = [(i, " ".join(w)) for i, w in texts.items() for _ in range(1000)]
+    wanted = {x[0]: x for x in brute_repeats([(i, " ".join(w)) for i, w in texts.items()])}
+    got = digest(debruijn.dedup_digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)))
+    assert got == sorted(wanted[i] for i, _ in rows)
+    spans = debruijn.repeats(debruijn.keyed(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert spans.count() == 2 and spans.selectExpr("max(size(spans))").first()[0] < 130
+
+
+def test_a_path_without_the_words_of_its_source_is_not_removed():
+    w = words.split(pa.array([" ".join(f"w{i}" for i in range(120))]))
+    raw, at = words.spaced(w)
+    span = {"at": 10, "step": 1, "count": 5, "n": 5, "proof": debruijn.proof(raw, at, 10, 54)}
+    assert debruijn.covered([span], 120, 50, raw, at).sum() == 54
+    assert not debruijn.covered([{**span, "proof": b"x" * 16}], 120, 50, raw, at).any()
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_substring_dedup_random(spark, seed):
     rng = random.Random(seed)
