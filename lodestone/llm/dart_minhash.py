@@ -30,7 +30,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words
@@ -38,7 +38,7 @@ from .components import components
 from .shared import materialise, scratch, tidy
 
 SHINGLE, K, ROWS, THRESHOLD = 5, 128, 4, 0.8
-SIGNED = "doc_id long, text_key int, content array<long>, bands array<long>"
+SIGNED = "doc_id long, text_key long, content array<long>, bands array<long>"
 GROUP = 2 << 20
 
 
@@ -206,6 +206,11 @@ def _prefixes(sets: DataFrame, ids: DataFrame, threshold: float) -> DataFrame:
     return rare.select("id", F.posexplode(head).alias("at", "x")).where("x.df > 1").select(F.col("x.key").alias("key"), "id", "at")
 
 
+def text_key(text: Column) -> Column:
+    """What tells apart rows that share an id."""
+    return F.xxhash64(text.cast("string"))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = K, rows: int = ROWS) -> DataFrame:
     """(doc_id, text_key, class_id) of every row of ``docs`` (doc_id, text)."""
     with scratch(docs.sparkSession):
@@ -213,7 +218,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = K, r
 
 
 def _near_duplicates(docs: DataFrame, threshold: float, k: int, rows: int) -> DataFrame:
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("text_key", F.hash("text"))
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("text_key", text_key(F.col("text")))
     signed = materialise(sign(docs, k, rows), "signed")
     # A text is known by the least (doc_id, text_key) among its copies.
     texts = materialise(signed.groupBy("content").agg(F.min(F.struct("doc_id", "text_key")).alias("least"), F.min_by("bands", F.struct("doc_id", "text_key")).alias("bands")), "texts")

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .shared import free_name, materialise, quoted, scratch
+from .shared import free_name, materialise, plain_names, quoted, scratch
 
 WINDOW, SEED = 50, 10
 PATH = "label long, content long, doc_id long, text_key long, at int, n int, reps int"
@@ -253,8 +253,8 @@ def dedup_texts(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> Data
     That column is called n_removed, with underscores behind it where ``docs`` has a column of that name. A text that loses no word
     stays as it is. A removed run goes with the blanks behind it, so line ends elsewhere stay.
     """
-    columns = docs.columns
-    key, found, count = (free_name(columns, c) for c in ("text_key", "spans", "n_removed"))
+    key, found, count = (free_name(docs.columns, c) for c in ("text_key", "spans", "n_removed"))
+    columns = plain_names(docs.columns)
 
     def make(group: pa.RecordBatch, w: words.Words, gone: np.ndarray) -> pa.RecordBatch:
         raw = w.data.tobytes()
@@ -277,7 +277,7 @@ def dedup_texts(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> Data
         kept = [pa.array(texts, pa.string()) if c == "text" else group.column(c) for c in columns]
         return pa.RecordBatch.from_arrays([*kept, pa.array(removed, pa.int64())], names=[*columns, count])
 
-    rows = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
+    rows = docs.toDF(*columns).withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
     schema = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in rows.schema.fields)
     marked = _with_spans(keyed(rows), rows.withColumn(key, F.xxhash64("text")), window, seed, key, found)
-    return marked.mapInArrow(_each(window, make, found), f"{schema}, {quoted(count)} long")
+    return marked.mapInArrow(_each(window, make, found), f"{schema}, {quoted(count)} long").toDF(*docs.columns, count)

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words
@@ -36,9 +36,9 @@ MIN_SHARE = 20
 ROW_BYTES = 4 << 20
 BLOCK_CHARS = 4_000_000
 CANDIDATES = 1 << 20
-INDEX = "row long, doc_ids array<long>, text_keys array<int>, first binary, terms binary, ends binary, postings binary"
-FOUND = "row long, doc_no int, doc_id long, text_key int, n_words long, starts array<int>, lengths array<int>, items array<string>"
-RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, text_key int"
+INDEX = "row long, doc_ids array<long>, text_keys array<long>, first binary, terms binary, ends binary, postings binary"
+FOUND = "row long, doc_no int, doc_id long, text_key long, n_words long, starts array<int>, lengths array<int>, items array<string>"
+RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, text_key long"
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -50,6 +50,11 @@ def _unplanes(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
+def text_key(text: Column) -> Column:
+    """What tells apart rows that share an id."""
+    return F.xxhash64(text.cast("string"))
+
+
 def build_index(docs: DataFrame) -> DataFrame:
     """The positional index of all ``docs`` as a table: see ``INDEX``."""
 
@@ -68,14 +73,14 @@ def build_index(docs: DataFrame) -> DataFrame:
                 ends = np.append(begin[1:], len(h))[: len(begin)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([row], pa.int64()), pa.array([group.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([group.column("text_key").to_pylist()], pa.list_(pa.int32())),
+                        pa.array([row], pa.int64()), pa.array([group.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([group.column("text_key").to_pylist()], pa.list_(pa.int64())),
                         *(pa.array([x], pa.binary()) for x in (_planes(w.first), terms.tobytes(), _planes(ends), _planes(steps))),
                     ],
                     names=["row", "doc_ids", "text_keys", "first", "terms", "ends", "postings"],
                 )
                 row += 1
 
-    return materialise(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("text_key", F.hash("text")).mapInArrow(build, INDEX), "postings")
+    return materialise(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("text_key", text_key(F.col("text"))).mapInArrow(build, INDEX), "postings")
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -198,7 +203,7 @@ def search(index: DataFrame, items: list[tuple[str, str | None]], window: int =
                 ids, texts = r["doc_ids"], r["text_keys"]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([r["row"]] * len(keep), pa.int64()), pa.array(keep, pa.int32()), pa.array([ids[d] for d in keep], pa.int64()), pa.array([texts[d] for d in keep], pa.int32()),
+                        pa.array([r["row"]] * len(keep), pa.int64()), pa.array(keep, pa.int32()), pa.array([ids[d] for d in keep], pa.int64()), pa.array([texts[d] for d in keep], pa.int64()),
                         pa.array(np.diff(p.first)[keep], pa.int64()), pa.array(starts, pa.list_(pa.int32())), pa.array(lengths, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string())),
                     ],
                     names=["row", "doc_no", "doc_id", "text_key", "n_words", "starts", "lengths", "items"],
@@ -267,7 +272,7 @@ def _digest(found: DataFrame) -> DataFrame:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Hits of benchmark windows in every document: see ``RESULT``; text_key is Spark's hash of the text."""
+    """Hits of benchmark windows in every document: see ``RESULT``; text_key is that of the function."""
     with scratch(docs.sparkSession):
         return materialise(_contamination(build_index(docs), benchmark, window, block_chars), "contamination", keep=True)
 

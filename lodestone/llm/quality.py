@@ -1,6 +1,6 @@
 """Quality rules by repetition coverage (operator 5).
 
-A map over the documents. For each of several n-gram lengths, rolling hashes in numpy mark every window of
+A map over the documents. Hashes of word windows, in numpy, roll from one n-gram length to the next and mark every window of
 n words that occurs twice or more in its text; the measure is the share of the text's word characters
 that lie inside marked windows. Lines are measured alike: the share of word characters in lines equal to
 an earlier line. A text is kept if no measure is above its limit.
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
+from .shared import plain_names
 
 #: n-gram length and the largest share of word characters inside repeated n-grams of that length.
 NGRAM_LIMITS = {5: 0.25, 6: 0.24, 7: 0.23, 8: 0.22, 9: 0.21, 10: 0.20}
@@ -90,19 +91,25 @@ def measure(group: pa.RecordBatch) -> dict[str, np.ndarray]:
     excess = np.full(len(n), -1.0)
     repeats = np.zeros(len(n), np.int64)
     open_docs = np.ones(len(n), bool)
+    # The hash of k words rolls on to that of k + 1: one multiplication and one addition a place.
+    rolled, width = h.copy(), 1
     for k in sorted({BASE_N, *NGRAM_LIMITS}):
-        at = np.flatnonzero(open_docs[doc]) if not open_docs.all() else None
-        sub_h, sub_doc, sub_size = (h, doc, size) if at is None else (h[at], doc[at], size[at])
-        first = np.searchsorted(sub_doc, np.arange(len(n) + 1))
-        ok = words.whole(first, k, len(sub_h))
-        marks = repeated(words.windows(sub_h, k), ok, sub_doc[: len(ok)])
-        covered = words.cover(marks, k, len(sub_h))
+        while width < k:
+            rolled *= words.K3
+            rolled[:-width] += h[width:]
+            width += 1
+        first = np.searchsorted(doc, np.arange(len(n) + 1))
+        ok = words.whole(first, k, len(h))
+        marks = repeated(words.mix(rolled[: len(ok)]), ok, doc[: len(ok)])
+        covered = words.cover(marks, k, len(h))
         if k == BASE_N:
             repeats = _sums(covered, first)
         if k in NGRAM_LIMITS:
-            excess = np.maximum(excess, np.where(open_docs, _sums(covered * sub_size, first) / chars - NGRAM_LIMITS[k], -1))
+            excess = np.maximum(excess, np.where(open_docs, _sums(covered * size, first) / chars - NGRAM_LIMITS[k], -1))
         # A repeated window of k + 1 words holds a repeated one of k, so texts without any are done.
         open_docs &= _sums(covered, first) > 0
+        at = np.flatnonzero(open_docs[doc])
+        h, doc, size, rolled = h[at], doc[at], size[at], rolled[at]
     lines = np.array([_dup_lines(t) for t in group.column("text").to_pylist()], np.int64).reshape(-1, 3)
     return out | {"n_lines": lines[:, 0], "n_dup_lines": lines[:, 1], "dup_line_chars": lines[:, 2] / chars, "n_repeat_words": repeats, "max_ngram_excess": excess}
 
@@ -122,7 +129,8 @@ def keep(docs: DataFrame) -> DataFrame:
             for group in words.groups(batch):
                 yield group.filter(pa.array(verdict(measure(group))[1]))
 
-    return docs.mapInArrow(run, docs.schema)
+    rows = docs.toDF(*plain_names(docs.columns))
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)
 
 
 def repetition_rules(docs: DataFrame) -> DataFrame:

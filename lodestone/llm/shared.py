@@ -59,6 +59,14 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def plain_names(names: list[str]) -> list[str]:
+    """The same names, but new ones for those that ``mapInArrow`` can't take (with dots, backticks and the like)."""
+    out: list[str] = []
+    for i, name in enumerate(names):
+        out.append(name if re.fullmatch(r"\w+", name) else free_name([*names, *out], f"column_{i}"))
+    return out
+
+
 _scratch: list[list[str]] = []
 
 
