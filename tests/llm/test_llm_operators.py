@@ -368,7 +368,37 @@ def test_token_counts(spark):
     assert all(got[(i, len(t or ""))].n_tokens == len(ids(t)) for i, t in rows)
     r = next(r for (i, _), r in got.items() if i == 50)
     assert (r.n_edits, r.n_tokens, r.n_tokens_before) == (2, len(ids("write to [mail] or call [number] now")), len(ids(mail.first().text)))
-    edits = spark.createDataFrame([(8, 0, 3, "three"), (8, 7, 7, "!"), (9, 3, 7, None)], "doc_id long, start int, end int, replacement string")
-    got = {r.doc_id: r.n_tokens for r in token_counts.apply_edits(docs.where("doc_id in (8, 9)"), edits, default_path()).collect()}
-    assert got == {8: len(ids("three two!")), 9: len(ids("one"))}
     assert token_counts.edited_counts(empty(spark), default_path()).count() == 0
+
+
+def test_trees_are_kept_and_follow_edits(spark, tmp_path):
+    """Trees written by one call, opened by another; edits from a table, twice; and no whole text goes to the encoder again."""
+    rng = random.Random(2)
+    long = " ".join(f"word{rng.randrange(5000)}" for _ in range(8_000))
+    rows = [(8, "one two"), (9, "one two"), (9, "one two"), (9, "nine is another"), (10, long), (11, ""), (12, None), (None, "alone")]
+    token_counts.build(spark.createDataFrame(rows, "doc_id long, text string"), default_path(), path=f"{tmp_path}/built")
+    trees = token_counts.open_trees(spark, f"{tmp_path}/built", default_path())
+    assert trees.leaves.count() > 100 and trees.sums.count() == len(rows)
+    texts = dict(rows[:1] + rows[4:7])
+    for step in range(2):
+        edits = [(8, 0, 3, "three"), (8, 7, 7, "!"), (11, 0, 0, "new text"), (9, 0, 3, None)]
+        if step:
+            edits = [(8, 1, 1, "x y"), (11, 0, 3, "")]
+        edits += [(10, a, a + 5, rng.choice(["", "é", "some more words", "\n"])) for a in range(100, len(texts[10]) - 100, 9_000)]
+        trees, report = token_counts.apply_edits(trees, spark.createDataFrame(edits, "doc_id long, start int, end int, replacement string"))
+        for i in texts:
+            own = sorted((a, b, n or "") for k, a, b, n in edits if k == i)
+            texts[i] = token_counts.rewritten(texts[i] or "", own)
+        trees = trees.save(f"{tmp_path}/step{step}")
+        got = {r.doc_id: r for r in report.where("doc_id <> 9").collect()}
+        assert {i: r.n_tokens for i, r in got.items()} == {i: len(ids(t)) for i, t in texts.items()}
+        assert {i: r.n_chars for i, r in got.items()} == {i: len(t) for i, t in texts.items()}
+        assert got[10].n_edits > 4 and got[10].n_chars_encoded < 1_000 * got[10].n_edits and got[10].n_chars_built > 50_000
+        assert {r.doc_id: r.text for r in trees.texts().where("doc_id <> 9").collect()} == texts
+        if not step:
+            nine = sorted((r.n_tokens, r.n_edits) for r in report.where("doc_id = 9").collect())
+            assert nine == sorted([(len(ids(" two")), 1)] * 2 + [(len(ids("e is another")), 1)])
+    assert report.where("doc_id is null and n_tokens = 1 and n_edits = 0").count() == 1
+    for bad in ([(8, 0, 3, "a"), (8, 2, 4, "b")], [(8, 0, 300, "a")]):
+        with pytest.raises(Exception, match="overlap|outside"):
+            token_counts.apply_edits(trees, spark.createDataFrame(bad, "doc_id long, start int, end int, replacement string"))

@@ -136,26 +136,50 @@ def test_chat_turn_round_trip(role, text):
 @settings(max_examples=60, deadline=None)
 @given(TEXT, st.lists(st.tuples(st.integers(0, 60), st.integers(0, 5), st.text(" \nab.", max_size=6)), max_size=4))
 def test_token_tree_follows_edits(enc, text, edits):
-    tree = token_counts.TokenTree(text, enc.one, leaf_chars=8)
+    tree = token_counts.TokenTree(text, enc, leaf_bytes=8)
     for at, size, new in edits:
         a = min(at, len(text))
         b = min(len(text), a + size)
-        tree.edit(a, b, new)
+        tree.edit((a, b, new))
         text = text[:a] + new + text[b:]
         assert tree.text() == text and tree.n_chars == len(text)
         assert tree.n_tokens == len(enc.one.tokenizer.encode(text, add_special_tokens=False).ids)
 
 
+@settings(max_examples=60, deadline=None)
+@given(TEXT, st.lists(st.integers(0, 60), max_size=8), st.text(" \nab.\u3000\x1c", max_size=6))
+def test_token_tree_follows_many_edits_at_once(enc, text, places, new):
+    tree = token_counts.TokenTree(text, enc, leaf_bytes=4)
+    cuts = sorted({min(x, len(text)) for x in places})
+    edits = [(a, b, new) for a, b in zip(cuts[::2], cuts[1::2], strict=False)]
+    tree.edit(*edits)
+    wanted = token_counts.rewritten(text, edits)
+    assert tree.text() == wanted and tree.n_tokens == len(enc.one.tokenizer.encode(wanted, add_special_tokens=False).ids)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(TEXT, st.none()), min_size=1, max_size=8))
+def test_leaves_are_encoded_apart(enc, texts):
+    leaves, chars, n = token_counts.cut(pa.array(texts, pa.string()), 4)
+    got, tokens, at = leaves.to_pylist(), token_counts.counts(enc, leaves), 0
+    assert [len(x) for x in got] == chars.tolist()
+    for text, k in zip(texts, n.tolist(), strict=True):
+        assert "".join(got[at : at + k]) == (text or "") and k >= 1
+        assert tokens[at : at + k].sum() == len(enc.one.tokenizer.encode(text or "", add_special_tokens=False).ids)
+        at += k
+
+
 def test_overlapping_edits_are_an_error(enc):
     with pytest.raises(ValueError):
-        token_counts.apply(token_counts.TokenTree("hello world", enc.one), [(0, 5, "a"), (3, 6, "b")])
+        token_counts.TokenTree("hello world", enc).edit((0, 5, "a"), (3, 6, "b"))
 
 
 def test_small_edit_encodes_little(enc):
     text = " ".join(f"word{i}" for i in range(5000))
-    tree = token_counts.TokenTree(text, enc.one)
-    tree.edit(20_000, 20_005, "new")
-    assert tree.encoded < 2_000
+    tree = token_counts.TokenTree(text, enc)
+    assert tree.encoded == len(text)
+    tree.edit((20_000, 20_005, "new"))
+    assert tree.encoded - len(text) < 2_000
 
 
 def test_rules_collisions_and_ties():
