@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
 
@@ -27,6 +27,12 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals out anew the rows of a source that has fewer files than there are cores, as one file may be one task; other sources stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable on the executors.
 
