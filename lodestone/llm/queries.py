@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import spread
 from . import chat, dart_minhash, debruijn, decontaminate, license_scan, packing, quality, token_counts, token_output, url_filter
 from .shared import small_batches
 from .tokens import default_path
@@ -17,13 +18,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return small_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def wide(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """For operators whose first step is a long map."""
+    return spread(table(spark, sf_dir, name))
+
+
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return token_output.read(token_output.write(docs, default_path()), docs)
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(table(spark, sf_dir, "documents"))
+    return license_scan.scan(wide(spark, sf_dir, "documents"))
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,15 +37,15 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dart_minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+    return dart_minhash.near_duplicates(wide(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.repetition_rules(table(spark, sf_dir, "documents")).drop("dup_line_chars", "max_ngram_excess")
+    return quality.repetition_rules(wide(spark, sf_dir, "documents")).drop("dup_line_chars", "max_ngram_excess")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
+    return decontaminate.contamination(wide(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,11 +59,11 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.edited_counts(table(spark, sf_dir, "documents"), default_path())
+    return token_counts.edited_counts(wide(spark, sf_dir, "documents"), default_path())
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return debruijn.dedup_digest(table(spark, sf_dir, "documents"))
+    return debruijn.dedup_digest(wide(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (op1_token_output, op2_license_scan, op3_best_fit_packing, op4_near_dedup, op5_quality_rules, op6_decontamination, op7_chat_format, op8_url_filter, op9_token_counts, op10_substring_dedup)}
