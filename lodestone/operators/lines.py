@@ -27,7 +27,9 @@ def screened(texts: DataFrame, word: str, path: str = "path", text: str = "text"
     """Texts that hold ``word`` as a token. Names that are never stored as tokens are not screened."""
     if not word.isidentifier() or len(word) < 2:
         return texts
-    return texts.where(F.array_contains(F.regexp_extract_all(F.col(text), F.lit(T.TOKEN), F.lit(0)), word))
+    # One token is a run of letters, digits and underscores that does not begin with a digit: what stands before it ends no such run.
+    whole = rf"(?:^|[^\p{{L}}\p{{Nd}}_])\p{{Nd}}*{word}(?![\p{{L}}\p{{Nd}}_])"
+    return texts.where(F.col(text).contains(word) & F.col(text).rlike(whole))
 
 
 def grep(rows: DataFrame, pattern: str) -> DataFrame:
@@ -45,8 +47,9 @@ def in_spans(rows: DataFrame, spans: DataFrame, extra: list[str]) -> DataFrame:
 
     Spans of one text are few, so the range costs no more than the lines of that text times its spans.
     """
-    on = (rows["path"] == spans["path"]) & rows["line"].between(spans["start_line"], spans["end_line"])
-    return rows.join(spans, on).select(rows["path"], rows["line"], rows["text"], *(spans[c] for c in extra))
+    own = spans.select(F.col("path").alias("_path"), F.col("start_line").alias("_from"), F.col("end_line").alias("_to"), *(F.col(c).alias(f"_span_{c}") for c in extra))
+    met = rows.join(own, (F.col("path") == F.col("_path")) & F.col("line").between(F.col("_from"), F.col("_to")))
+    return met.select("path", "line", "text", *(F.col(f"_span_{c}").alias(c) for c in extra))
 
 
 def with_context(rows: DataFrame, hits: DataFrame, n: int) -> DataFrame:

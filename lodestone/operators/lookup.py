@@ -75,6 +75,31 @@ def implementations(symbols: DataFrame, name: str) -> DataFrame:
     return hit
 
 
+def expanded(symbols: DataFrame, first: DataFrame, root: str, levels: int, n: int, keep=lambda rows: rows) -> DataFrame:
+    """Implementations of implementations, level by level: (depth, place, of, name, kind, path, line, package, leaf).
+
+    ``first``: the implementations of ``root`` (package.name, lower case). Of each row the first ``n`` implementations that ``keep`` leaves go on, and of those the types. ``place`` tells
+    a row of the tree, ``of`` the one above it. A type that lies on the path already is listed as a ``leaf``, without any below it. No level has more than ``n`` rows for each row above.
+    """
+    known = F.concat(F.lower("package"), F.lit("."), F.lower("name"))
+    cols = ["name", "kind", "path", "line", "package"]
+    tell = F.concat_ws("\x1f", "of", "path", F.lpad(F.col("line").cast("string"), 9, "0"), "name")
+
+    def level(rows: DataFrame, depth: int) -> DataFrame:
+        some = per_group(rows, ["of"], [F.col(c) for c in LAST], n).where(F.lower("kind").isin(*TYPE_KINDS))
+        return some.withColumns({"depth": F.lit(depth), "place": tell, "key": known, "leaf": F.array_contains("above", known)})
+
+    now = level(first.select(*cols).withColumns({"of": F.lit(""), "above": F.array(F.lit(root))}), 1)
+    out = now
+    edges = type_edges(symbols).select(F.col("child_name").alias("name"), F.col("child_path").alias("path"), F.col("child_line").alias("line"), "parent_lc").distinct()
+    below = keep(symbols).select(*cols).distinct().join(edges, ["name", "path", "line"])
+    for depth in range(2, levels + 1):
+        up = now.where("not leaf").select(F.col("place").alias("of"), F.array_append("above", F.col("key")).alias("above"), F.lower("name").alias("parent_lc"))
+        now = level(below.join(up, "parent_lc").select(*cols, "of", "above"), depth)
+        out = out.unionByName(now)
+    return out.select("depth", "place", "of", *cols, "leaf")
+
+
 def companion(symbols: DataFrame, of: DataFrame) -> DataFrame:
     """For each class, trait or enum the object of its name, package and file, and the other way round: the first."""
     a = of.select("name", "package", "path", F.lower("kind").alias("k"), F.col("line").alias("of_line"))

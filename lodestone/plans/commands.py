@@ -9,8 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions import text as T
 from ..operators import hierarchy, imports, lines, lookup, refs, summary
@@ -366,6 +369,16 @@ def _type_graph(ctx: Context) -> DataFrame:
     return ctx.tables.symbols.where(F.lower("kind").isin(*lookup.TYPE_KINDS)).select(F.lower("name").alias("child"), F.explode("parents").alias("p")).select("child", F.lower("p").alias("parent"))
 
 
+def _inherited(ctx: Context, types: DataFrame, name: str) -> DataFrame:
+    """Members of all ancestors of ``types``, which are called ``name``; of the types of an ancestor's name the best-ranked counts."""
+    firsts = hierarchy.first_types(lookup.kept(ctx.tables.symbols, types_only=True), lookup.definition_order())
+    up = lambda rows: rows.select("node", F.explode("parents").alias("p")).select(F.col("node").alias("src"), F.lower("p").alias("dst"))
+    edges = up(firsts.where(F.col("node") != name)).unionByName(up(types.withColumn("node", F.lit(name))))
+    above = hierarchy.reach(edges, ctx.spark.createDataFrame([(name,)], "node string"), None).where("depth > 0")
+    owners = firsts.join(above.select("node"), "node", "left_semi").select("path", F.col("name").alias("owner"), F.lower("kind").alias("owner_kind"))
+    return ctx.tables.members.join(owners.distinct(), ["path", "owner", "owner_kind"], "left_semi")
+
+
 @register("members")
 def members(ctx: Context, args: list[str]) -> Result:
     if not args:
@@ -378,11 +391,10 @@ def members(ctx: Context, args: list[str]) -> Result:
     own = t.members.join(keyed, ["path", "owner", "owner_kind"], "left_semi").withColumn("inherited", F.lit(False))
     name = args[0].rpartition(".")[2].lower()
     if f.inherited:
-        above = hierarchy.reach(_type_graph(ctx).select(F.col("child").alias("src"), F.col("parent").alias("dst")), ctx.spark.createDataFrame([(name,)], "node string"), None).where("depth > 0")
-        theirs = t.members.join(above.select(F.col("node").alias("_o"), "depth"), F.lower("owner") == F.col("_o")).drop("_o")
+        theirs = _inherited(ctx, types, name)
         redefined = theirs.select("name", "kind", F.lit(True).alias("_up")).distinct()
         own = own.join(redefined, ["name", "kind"], "left").withColumn("is_override", F.col("is_override") | F.coalesce("_up", F.lit(False))).drop("_up")
-        theirs = theirs.join(own.select("name", "kind"), ["name", "kind"], "left_anti").withColumn("inherited", F.lit(True)).drop("depth")
+        theirs = theirs.join(own.select("name", "kind"), ["name", "kind"], "left_anti").withColumn("inherited", F.lit(True))
         own = own.unionByName(theirs)
     partner = lookup.companion(t.symbols, types).select("path", F.col("name").alias("owner"), F.lower("kind").alias("owner_kind"))
     friends = t.members.join(partner, ["path", "owner", "owner_kind"], "left_semi").join(keyed, ["path", "owner", "owner_kind"], "left_anti")
@@ -406,13 +418,20 @@ def doc(ctx: Context, args: list[str]) -> Result:
 def body(ctx: Context, args: list[str]) -> Result:
     if not args:
         return usage("body <symbol>")
-    f, name = ctx.flags, args[0].rpartition(".")[2]
-    b = ctx.kept_refs(ctx.tables.bodies.where(F.lower("name") == name.lower()).drop("package"))
-    owner = f.inside or args[0].rpartition(".")[0]
-    stages = [b.where(F.lower("owner") == owner.rpartition(".")[2].lower())] if owner else []
-    if not f.inside:
-        stages.append(b)
-    found = lookup.first_stage(stages)
+    f, t = ctx.flags, ctx.tables
+    b = ctx.kept_refs(t.bodies.drop("package"))
+    types_of = lambda owner: lookup.kept(ctx.kept(lookup.by_name(t.symbols, owner), kind=False), types_only=True).select("path")
+    # The files that define the name, and those of the owner asked for; if there are none, all files with types, as the name may be local to a body.
+    defs = ctx.kept(lookup.by_name(t.symbols, args[0]), kind=False).select("path")
+    every = lookup.kept(ctx.kept(t.symbols, kind=False), types_only=True).select("path")
+    files = lookup.first_stage([defs.unionByName(types_of(f.inside)) if f.inside else defs, every]).distinct()
+    found = b.where(F.col("name") == args[0]).join(files, "path", "left_semi")
+    if f.inside:
+        found = found.where(F.col("owner") == f.inside.rpartition(".")[2])
+    elif "." in args[0]:
+        owner, _, last = args[0].rpartition(".")
+        of = b.where((F.col("name") == last) & (F.col("owner") == owner.rpartition(".")[2])).join(types_of(owner).distinct(), "path", "left_semi")
+        found = lookup.first_stage([found, of])
     if f.context:
         around = lines.lines(ctx.tables.texts)
         before = found.select("path", "start_line", F.explode(F.sequence(F.col("start_line") - f.context, F.col("start_line") - 1)).alias("line"), F.lit("before").alias("side"))
@@ -508,17 +527,23 @@ def deps(ctx: Context, args: list[str]) -> Result:
     if root is None:
         return not_found(f'No definition of "{args[0]}" found', ctx, args[0])
     t = ctx.tables
-    # A name depends on what its file imports by name and on the names that its body holds; only names of the index count.
     known = t.symbols.select(F.lower("name").alias("dst")).distinct()
-    owner = t.symbols.select("path", F.lower("name").alias("src")).distinct()
-    by_import = imports.named(t.imports).join(owner, "path").select("src", F.lower("name").alias("dst"), F.lit("import").alias("source"))
-    words = t.bodies.select(F.lower("name").alias("src"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(T.TOKEN), F.lit(0)))).alias("w"))
-    by_body = words.join(owner.select("src").distinct(), "src", "left_semi").select("src", F.lower("w").alias("dst"), F.lit("body").alias("source"))
-    edges = by_import.unionByName(by_body).where("src <> dst").join(known, "dst", "left_semi").groupBy("src", "dst").agg(F.max("source").alias("source"))
+
+    def hop(front: DataFrame) -> DataFrame:
+        """A name depends on what its file imports by name and on the names that its body holds; only names of the index count. Only files and bodies of the front are read."""
+        near = front.select(F.col("node").alias("src"))
+        owner = t.symbols.select("path", F.lower("name").alias("src")).distinct().join(near, "src", "left_semi")
+        by_import = imports.named(t.imports).join(owner, "path").select("src", F.lower("name").alias("dst"), F.lit("import").alias("source"))
+        own = t.bodies.select(F.lower("name").alias("src"), "text").join(near, "src", "left_semi").join(owner.select("src"), "src", "left_semi")
+        words = own.select("src", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(T.TOKEN), F.lit(0)))).alias("w"))
+        by_body = words.select("src", F.lower("w").alias("dst"), F.lit("body").alias("source"))
+        return by_import.unionByName(by_body).where("src <> dst").join(known, "dst", "left_semi").groupBy("src", "dst").agg(F.max("source").alias("source"))
+
     depth = min(max(1, ctx.flags.depth), hierarchy.MAX_DEPTH)
-    found = hierarchy.reach(edges, ctx.spark.createDataFrame([(root["name"].lower(),)], "node string"), depth).where("depth > 0")
+    start = ctx.spark.createDataFrame([(root["name"].lower(),)], "node string")
+    found = hierarchy.reach(hop, start, depth).where("depth > 0")
     first = t.symbols.withColumn("_n", F.row_number().over(Window.partitionBy(F.lower("name")).orderBy(*lookup.definition_order()))).where("_n = 1")
-    rows = found.join(first, F.col("node") == F.lower("name")).join(edges.where(F.col("src") == root["name"].lower()).select(F.col("dst").alias("node"), "source"), "node", "left")
+    rows = found.join(first, F.col("node") == F.lower("name")).join(hop(start).select(F.col("dst").alias("node"), "source"), "node", "left")
     return Result("deps", f'Dependencies of "{args[0]}":', {"deps": rows.select("name", "kind", "path", "line", "package", "depth", "source").orderBy("depth", "name", "path")})
 
 
@@ -556,9 +581,14 @@ def explain(ctx: Context, args: list[str]) -> Result:
         friends = t.members.join(partner, ["path", "owner", "owner_kind"], "left_semi").join(own.select("name", "kind"), ["name", "kind"], "left_anti")
         parts["companion"] = lookup.limited(friends.orderBy(*lookup.member_order()), limit)
     if f.inherited:
-        parts["inherited"] = hierarchy.inherited(t.members.select(F.lower("owner").alias("owner"), "name", "kind"), _type_graph(ctx), sym["name"].lower())
+        theirs = _inherited(ctx, order.limit(1), sym["name"].lower())
+        parts["inherited"] = theirs.join(own.select("name", "kind"), ["name", "kind"], "left_anti").select("name", "kind", F.col("owner").alias("from_owner"))
     if f.expand:
-        parts["expanded"] = hierarchy.walk(_type_graph(ctx), sym["name"].lower(), f.expand, down=True).where("depth > 0")
+        root = f"{sym['package']}.{sym['name']}".lower()
+        tree = lookup.expanded(t.symbols, lookup.limited(impls.orderBy(*lookup.LAST), f.impl_limit), root, f.expand, f.impl_limit, ctx.kept)
+        parts["expanded"] = tree.orderBy("place")
+        theirs = t.members.join(tree.where("not leaf").select("path", F.col("name").alias("owner"), F.lower("kind").alias("owner_kind")).distinct(), ["path", "owner", "owner_kind"], "left_semi")
+        parts["expanded_members"] = lookup.per_group(theirs, ["path", "owner", "owner_line"], lookup.member_order(), limit)
     if f.related:
         words = own.select(F.explode(F.regexp_extract_all("signature", F.lit(TYPE_NAME), F.lit(0))).alias("w")).unionByName(order.limit(1).select(F.explode("parents").alias("w")))
         wanted = words.select(F.lower("w").alias("_w")).where(~F.col("_w").isin(*PREDEF, sym["name"].lower())).distinct()
@@ -646,18 +676,32 @@ def diff(ctx: Context, args: list[str]) -> Result:
     if files is None:
         return Result("not_found", f"Could not diff against {args[0]}")
     some = files[: ctx.flags.limit * 5] if ctx.flags.limit else files
-    snapshots: dict[str, list[tuple]] = {"old": [], "new": []}
-    for path in some:
-        for side, text in (("old", git.show(ctx.root, args[0], path)), ("new", _read(ctx.root, path))):
-            if text is not None:
-                lang = git.language(path)
-                src = scan.scan(text, lang)
-                snapshots[side] += [(path, d["name"], d["kind"], d["line"], src.package, d["signature"]) for d in scan.symbols(src, lang)]
-    frame = lambda side: ctx.spark.createDataFrame(snapshots[side], "path string, name string, kind string, line int, package string, signature string")
-    changes = summary.difference(frame("old"), frame("new"), ["path", "name", "kind"], ["signature", "line"])
+    snapshots = _snapshots(ctx.spark.createDataFrame([(p,) for p in some], "path string").repartition(max(1, len(some) // 64 + 1)), ctx.root, args[0])
+    old, new = (snapshots.where(F.col("side") == side) for side in ("old", "new"))
+    changes = summary.difference(old, new, ["path", "name", "kind"], ["signature", "line"])
     return Result("diff", f"Changes since {args[0]}:", {"changes": changes.orderBy("change", "path", "name", "kind")}, {"files_changed": len(files)})
 
 
+def _snapshots(paths: DataFrame, root: str, ref: str) -> DataFrame:
+    """Symbols of files as they were at ``ref`` and as they are; executors read the work tree, which all of them must see, and parse there."""
+    columns = "side string, path string, name string, kind string, line int, package string, signature string"
+    schema = to_arrow_schema(StructType.fromDDL(columns))
+
+    def read(batches):
+        for batch in batches:
+            rows = []
+            for path in batch.column("path").to_pylist():
+                for side, text in (("old", git.show(root, ref, path)), ("new", _read(root, path))):
+                    if text is None:
+                        continue
+                    lang = git.language(path)
+                    src = scan.scan(text, lang)
+                    rows += [{"side": side, "path": path, "package": src.package, **{c: d[c] for c in ("name", "kind", "line", "signature")}} for d in scan.symbols(src, lang)]
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return paths.mapInArrow(read, columns)
+
+
 def _read(root: str, path: str) -> str | None:
     from pathlib import Path
 

@@ -221,38 +221,34 @@ def refs_confidence(spark, sf):
 
 # --- lookup and ranking --------------------------------------------------------------------------------
 
+#: Camel case as a plain pattern, which says the same for names of two segments.
 _TIER = """CASE WHEN lower(name) = '{q}' THEN 1 WHEN starts_with(lower(name), '{q}') THEN 2 WHEN contains(lower(name), '{q}') THEN 3
-  WHEN length(name) >= 3 AND length(name) > {h} AND ends_with('{q}', lower(name)) THEN 4 END"""
+  WHEN length(name) >= 3 AND length(name) > {h} AND ends_with('{q}', lower(name)) THEN 4 WHEN regexp_matches(name, '{camel}') THEN 5 END"""
 
 
 @query(
-    f"""WITH {PARTS_SQL}, t AS (SELECT name, kind, path, line, package, {_TIER.format(q='cold', h=2)} AS tier FROM parts)
+    f"""WITH {PARTS_SQL}, t AS (SELECT name, kind, path, line, package, {_TIER.format(q='cold', h=2, camel='^[cC]([oO]|.+O)([lL]|.+L)([dD]|.+D)')} AS tier FROM parts)
     SELECT name, path, line, package, tier FROM t WHERE tier IS NOT NULL"""
 )
 def search_tiers(spark, sf):
-    return lookup.search(symbols(spark, sf), "Cold").select("name", "path", "line", "package", "tier").where("tier < 5")
+    return lookup.search(symbols(spark, sf), "Cold").select("name", "path", "line", "package", "tier")
 
 
 @query(
-    f"""WITH {PARTS_SQL}, t AS (SELECT name, path, line, {_TIER.format(q='co', h=1)} AS tier FROM parts)
-    SELECT name, path, line, tier FROM t WHERE tier IS NOT NULL ORDER BY tier, path, line, name LIMIT 20"""
+    f"""WITH {PARTS_SQL}, t AS (SELECT name, path, line, {_TIER.format(q='cr', h=1, camel='^[cC]([rR]|.+R)')} AS tier FROM parts)
+    SELECT name, path, line, tier FROM t WHERE tier IS NOT NULL ORDER BY tier, CASE WHEN tier = 5 THEN length(name) END, path, line, name LIMIT 20"""
 )
 def search_ranked(spark, sf):
-    hit = lookup.search(symbols(spark, sf), "co").where("tier < 5")
+    hit = lookup.search(symbols(spark, sf), "CR")
     return lookup.limited(hit.orderBy(*lookup.search_order()), 20).select("name", "path", "line", "tier")
 
 
-@query()
+@query(f"WITH {PARTS_SQL}, t AS (SELECT name, path, line, package, {_TIER.format(q='cr', h=1, camel='^[cC]([rR]|.+R)')} AS tier FROM parts) SELECT name, path, line, package, tier FROM t WHERE tier IS NOT NULL")
 def search_all_tiers(spark, sf):
-    """All five tiers, without SQL: DuckDB cannot express the camel-case match. Tests hold it against a brute-force version."""
+    """Camel case mostly; tests hold it against a brute-force version too."""
     return lookup.search(symbols(spark, sf), "CR").select("name", "path", "line", "package", "tier")
 
 
-@query()
-def search_all_ranked(spark, sf):
-    return lookup.limited(lookup.search(symbols(spark, sf), "CR").orderBy(*lookup.search_order()), 20).select("name", "path", "line", "tier")
-
-
 @query()
 def file_search_all(spark, sf):
     """Names as file names, by all tiers."""
@@ -260,11 +256,11 @@ def file_search_all(spark, sf):
     return lookup.limited(lookup.file_search(names, "CR"), 30)
 
 
-@query(f"WITH {PARTS_SQL} SELECT name, path FROM parts WHERE length(name) > 0 AND regexp_matches(name, '^C[^A-Z]*R') AND upper(substr(name, 1, 1)) = 'C'")
+@query(f"WITH {PARTS_SQL} SELECT name, path FROM parts WHERE regexp_matches(name, '^[cC]([rR]|.+R)')")
 def search_camel(spark, sf):
     """Camel-case match alone. Names here have two segments, so a simple pattern says the same."""
     s = symbols(spark, sf)
-    return s.where(T.camel_match(F.col("name"), "CR") & ~F.lower("name").contains("cr")).select("name", "path").unionByName(s.where(F.lower("name").contains("cr") & F.col("name").rlike("^C[^A-Z]*R")).select("name", "path"))
+    return s.where(T.camel_match(F.col("name"), "CR")).select("name", "path")
 
 
 @query(f"WITH {PARTS_SQL}, s AS (SELECT name, path FROM parts WHERE lower(name) = (SELECT min(lower(name)) FROM parts)) SELECT name, path FROM s")
@@ -286,22 +282,15 @@ def annotated(spark, sf):
     return lookup.annotated(symbols(spark, sf), "@Brand#13").select("name", "path")
 
 
-@query(f"WITH {PARTS_SQL} SELECT name, path FROM parts WHERE contains(lower(substr(signature, 22)), 'e') AND line >= 25")
+@query(f"WITH {PARTS_SQL} SELECT name, path FROM parts WHERE contains(lower(substr(signature, 22)), 'e')")
 def signature_returns(spark, sf):
-    s = symbols(spark, sf).where("line >= 25")
-    return s.where(T.returns(F.col("signature"), "E") & T.takes(F.col("signature"), "INT")).select("name", "path")
-
-
-@query(f"WITH {PARTS_SQL} SELECT name, kind, path FROM parts WHERE package = 'brand#13' AND path < '00000500' ORDER BY name, path LIMIT 50")
-def package_symbols(spark, sf):
     s = symbols(spark, sf)
-    own = s.join(F.broadcast(lookup.package_match(s, "BRAND#13")), "package", "left_semi").where("path < '00000500'")
-    return lookup.limited(own.orderBy("name", "path"), 50).select("name", "kind", "path")
+    return s.where(T.returns(F.col("signature"), "E") & T.takes(F.col("signature"), "INT")).select("name", "path")
 
 
 @query(f"WITH {PARTS_SQL} SELECT name, kind, path FROM parts WHERE package = 'brand#13' ORDER BY name, path LIMIT 50")
-def package_symbols_all(spark, sf):
-    """The first symbols of the whole package; ``package_symbols`` looks at the paths below 500 alone."""
+def package_symbols(spark, sf):
+    """The first symbols of a whole package."""
     s = symbols(spark, sf)
     own = s.join(F.broadcast(lookup.package_match(s, "BRAND#13")), "package", "left_semi")
     return lookup.limited(own.orderBy("name", "path"), 50).select("name", "kind", "path")
@@ -309,7 +298,7 @@ def package_symbols_all(spark, sf):
 
 @query(f"WITH {PARTS_SQL}, f AS (SELECT DISTINCT path FROM parts WHERE contains(path, '12')) SELECT path, CASE WHEN starts_with(path, '12') THEN 2 ELSE 3 END AS tier FROM f ORDER BY tier, path LIMIT 30")
 def file_search(spark, sf):
-    return lookup.limited(lookup.file_search(symbols(spark, sf), "12").where("tier < 5"), 30)
+    return lookup.limited(lookup.file_search(symbols(spark, sf), "12"), 30)
 
 
 @query(
@@ -330,9 +319,23 @@ def members_page(spark, sf):
 # --- hierarchy and graphs ------------------------------------------------------------------------------
 
 
-@query(f"WITH {FAMILY_SQL} SELECT parent, count(*) AS implementations FROM family GROUP BY parent")
+def family_symbols(spark, sf):
+    """The family as symbols with parents."""
+    none = F.array().cast("array<string>")
+    return family(spark, sf).select(
+        F.col("child").alias("name"), F.lit("class").alias("kind"), F.col("child").alias("path"), F.lit(1).alias("line"), F.col("parent").alias("package"), F.array("parent").alias("parents"), none.alias("type_param_parents")
+    )
+
+
+@query(f"WITH {FAMILY_SQL} SELECT child AS name, parent AS package FROM family WHERE parent = 'NATION_6'")
 def impl_direct(spark, sf):
-    return family(spark, sf).groupBy("parent").agg(F.count("*").alias("implementations"))
+    """All implementations of one type, by a name in another case."""
+    return lookup.implementations(family_symbols(spark, sf), "nation_6").select("name", "package")
+
+
+@query(f"WITH {FAMILY_SQL} SELECT lower(parent) AS parent_lc, count(*) AS implementations FROM family GROUP BY parent")
+def impl_counts(spark, sf):
+    return lookup.type_edges(family_symbols(spark, sf)).groupBy("parent_lc").agg(F.count("*").alias("implementations"))
 
 
 @query(
@@ -436,9 +439,20 @@ def overrides(spark, sf):
 # --- imports -----------------------------------------------------------------------------------------
 
 
-@query(f"WITH {LINKS_SQL} SELECT path, import_text FROM links")
+@query(
+    rf"""WITH {LINKS_SQL}, t AS (SELECT path, 'import web.' || replace(import_text, '/', '.') AS text, row_number() OVER (PARTITION BY path ORDER BY import_text) AS line FROM links WHERE import_text <> '' AND NOT contains(import_text, ':')),
+    w AS (SELECT min(regexp_extract(text, '([A-Za-z0-9]+)$', 1)) AS n FROM t WHERE regexp_matches(text, '[A-Za-z0-9]+$'))
+    SELECT path, CAST(line AS INTEGER) AS line, text AS context FROM t, w WHERE regexp_matches(text, '(^|[^\p{{L}}\p{{Nd}}])' || n || '($|[^\p{{L}}\p{{Nd}}])')"""
+)
 def imports_pages(spark, sf):
-    return links(spark, sf)
+    """Links as import lines of their pages; who imports one name."""
+    found = links(spark, sf).where("import_text <> '' and not contains(import_text, ':')")
+    rows = found.groupBy("path").agg(F.sort_array(F.collect_list("import_text")).alias("x"))
+    t = rows.select("path", F.array_join(F.transform("x", lambda x: F.concat(F.lit("import web."), F.replace(x, F.lit("/"), F.lit(".")))), "\n").alias("text"))
+    every = lines.lines(t).select(F.regexp_extract("text", "([A-Za-z0-9]+)$", 1).alias("n")).where("n <> ''")
+    name = every.agg(F.min("n")).first()[0]
+    none = imports.parsed(spark.createDataFrame([], "path long, import_text string"))
+    return imports.importers(t, name or "none", spark.createDataFrame([], "package string"), none).select("path", "line", "context")
 
 
 @query(f"WITH {LINKS_SQL} SELECT lower(regexp_replace(import_text, '^.*\\.', '')) AS name_lc, count(*) AS imports FROM links WHERE regexp_replace(import_text, '^.*\\.', '') <> '' GROUP BY 1")
@@ -554,12 +568,6 @@ def entrypoints_union(spark, sf):
     return summary.first_branch(branches, ["user_id"], ["event_id"]).groupBy("category").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT n_nationkey, '{"name":"' || n_name || '","region":' || n_regionkey || '}' AS json FROM nation""")
-def json_output(spark, sf):
-    n = table(spark, sf, "nation")
-    return n.select("n_nationkey", F.to_json(F.struct(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))).alias("json"))
-
-
 @query(
     """WITH s AS (SELECT o_orderpriority AS name, o_custkey AS path, o_orderkey AS line, CASE WHEN o_orderstatus = 'F' THEN 'class' ELSE 'object' END AS kind FROM orders)
     SELECT c.name, c.path, c.line AS of_line, min(o.line) AS line FROM s c JOIN s o ON c.name = o.name AND c.path = o.path AND c.kind = 'class' AND o.kind = 'object' GROUP BY ALL"""
@@ -604,15 +612,3 @@ def package_match(spark, sf):
 def impl_limit(spark, sf):
     """The first implementations of each type."""
     return lookup.per_group(family(spark, sf), ["parent"], [F.col("child")], 5)
-
-
-@query(
-    f"""WITH {PARTS_SQL}, s AS (SELECT DISTINCT o_custkey AS path, l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
-    SELECT name, path FROM parts WHERE package = 'brand#13' AND CAST(path AS BIGINT) IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 50) AND contains(lower(signature), 'brass')
-    UNION ALL SELECT name, path FROM parts WHERE package = 'brand#13' AND CAST(path AS BIGINT) IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 50) AND NOT contains(lower(signature), 'brass') AND line > 25"""
-)
-def ast_pattern(spark, sf):
-    """Symbols of one package that have a member of a kind, and a text or a size: semi-joins and predicates in conjunction."""
-    s = symbols(spark, sf).where("package = 'brand#13'")
-    member = table(spark, sf, "lineitem").where("l_quantity >= 50").select(F.lpad(F.col("l_partkey").cast("string"), 8, "0").alias("path")).distinct()
-    return s.join(member, "path", "left_semi").where(F.lower("signature").contains("brass") | (F.col("line") > 25)).select("name", "path")

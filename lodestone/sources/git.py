@@ -27,16 +27,17 @@ def blob_id(data: bytes) -> str:
 
 
 def listing(root: str, staged: bool = False) -> list[tuple[str, str, str]]:
-    """(path, oid, lang) of tracked sources. By default the id is that of the file's present content, so
-    edits that are not staged are seen; with ``staged`` it is what git has in its index."""
+    """(path, oid, lang) of tracked sources. The id is what git has in its index; of files that git says have been edited since, it is that of the present
+    content, so edits that are not staged are seen and no other file is read. With ``staged`` those are not asked for."""
+    edited = set() if staged else set(filter(None, (_git(root, "diff-files", "--name-only", "-z") or "").split("\0")))
     out = []
-    for line in (_git(root, "ls-files", "--stage") or "").splitlines():
-        head, _, path = line.partition("\t")
+    for entry in filter(None, (_git(root, "ls-files", "--stage", "-z") or "").split("\0")):
+        head, _, path = entry.partition("\t")
         lang = language(path)
         if not lang:
             continue
         oid = head.split()[1]
-        if not staged:
+        if path in edited:
             try:
                 oid = blob_id((Path(root) / path).read_bytes())
             except OSError:
@@ -51,8 +52,8 @@ def ls_files(spark: SparkSession, root: str, staged: bool = False) -> DataFrame:
 
 def changed(root: str, ref: str) -> list[str] | None:
     """Tracked sources that differ from ``ref``; None if git refuses."""
-    out = _git(root, "diff", "--name-only", ref)
-    return None if out is None else [p for p in out.splitlines() if language(p)]
+    out = _git(root, "diff", "--name-only", "-z", ref)
+    return None if out is None else [p for p in out.split("\0") if p and language(p)]
 
 
 def show(root: str, ref: str, path: str) -> str | None:

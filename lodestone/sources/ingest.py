@@ -1,12 +1,13 @@
 """From sources to the tables of a code index, and the index on disk.
 
-Parsing is one map over files (path, oid, lang, text): a row of nested facts each. The index is that table as Parquet, in versioned
-folders with a pointer to the current one; a refresh parses only files whose (path, oid) is new and takes the others over. Tables
+Parsing is one map over files (path, oid, lang, text): a row of nested facts each. The index is that table as Parquet, in folders that are only added
+to and a pointer to those in use; a refresh reads, parses and writes only files whose (path, oid) is new. Tables
 (``symbols``, ``members``, …) are projections that read only their own columns.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 from collections.abc import Iterator
@@ -57,13 +58,28 @@ def parse(files: DataFrame) -> DataFrame:
     return files.select("path", "oid", "lang", "text").mapInArrow(run, INDEX)
 
 
+#: Up to so many files are read by name; more by a listing of the whole tree.
+BY_NAME = 10_000
+
+
 def read_sources(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
-    """Adds the texts of ``files`` below ``root``, a folder that all executors see; unreadable files are left out."""
+    """Adds the texts of ``files`` below ``root``, a folder that all executors see; unreadable files are left out. No other file is read."""
+    names = [r[0] for r in files.select("path").limit(BY_NAME + 1).collect()]
     base = re.sub(r"^[a-z]+:/+", "/", root.rstrip("/"))
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{scala,java}").load(root)
+    read = spark.read.format("binaryFile")
+    if len(names) <= BY_NAME:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        store = hadoop.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        there = [p for p in (f"{root.rstrip('/')}/{n}" for n in names) if store.exists(hadoop.Path(p))]
+        if not there:
+            return files.limit(0).withColumn("text", F.lit(""))
+        # Names with characters that stand for patterns, or commas, are escaped, as Spark takes each path for a pattern.
+        found = read.load([re.sub(r"([\\*?\[\]{}])", r"\\\1", p) for p in there])
+    else:
+        found = read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{scala,java}").load(root)
     place = F.regexp_replace("path", "^[a-z]+:/+", "/")
-    own = read.where(place.startswith(f"{base}/")).select(F.substring(place, len(base) + 2, 1 << 20).alias("path"), F.decode("content", "UTF-8").alias("text"))
-    return files.join(own, "path")
+    own = found.where(place.startswith(f"{base}/")).select(F.substring(place, len(base) + 2, 1 << 20).alias("path"), "content")
+    return files.join(own, "path").select(*files.columns, F.decode("content", "UTF-8").alias("text"))
 
 
 @dataclass
@@ -75,7 +91,14 @@ class Stats:
 
 
 class IndexStore:
-    """Versioned index folders: ``root/v-…`` and the pointer file ``root/CURRENT``, all through Spark's own file systems."""
+    """An index as folders of rows that are only ever added to, and the pointer file ``root/CURRENT``, all through Spark's own file systems.
+
+    The pointer names the folders of rows in use and a small table of the (path, oid) that are live. A refresh adds one folder with the rows of new and edited files and a new
+    table of live ones; rows of other files are neither read nor written. After ``MERGE`` folders all live rows move to one, and folders that neither the
+    pointer nor the one before it names are removed, so readers of the index before are not disturbed.
+    """
+
+    MERGE = 16
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -85,40 +108,65 @@ class IndexStore:
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/CURRENT")
         return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def current(self) -> str | None:
+    def current(self) -> dict | None:
+        """{"rows": folders, "live": folder, "before": folders of the index before}."""
         path, fs = self._fs()
-        if not fs.exists(path):
-            return None
-        return self.spark.read.text(f"{self.root}/CURRENT").first()[0].strip()
+        return json.loads(self.spark.read.text(f"{self.root}/CURRENT").first()[0]) if fs.exists(path) else None
 
-    def load(self) -> DataFrame | None:
-        name = self.current()
-        return self.spark.read.schema(INDEX).parquet(f"{self.root}/{name}") if name else None
-
-    def save(self, rows: DataFrame) -> DataFrame:
-        """A new version, then the pointer; readers of the old one are not disturbed."""
-        name = f"v-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.root}/{name}")
+    def _point(self, now: dict) -> None:
         path, fs = self._fs()
         fs.mkdirs(path.getParent())
         out = fs.create(path, True)
-        out.write(bytearray(name.encode()))
+        out.write(bytearray(json.dumps(now).encode()))
         out.close()
+
+    def _write(self, rows: DataFrame, kind: str) -> str:
+        name = f"{kind}-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.root}/{name}")
+        return name
+
+    def live(self, now: dict) -> DataFrame:
+        return self.spark.read.schema("path string, oid string").parquet(f"{self.root}/{now['live']}")
+
+    def load(self) -> DataFrame | None:
+        now = self.current()
+        if now is None:
+            return None
+        rows = self.spark.read.schema(INDEX).parquet(*(f"{self.root}/{n}" for n in now["rows"]))
+        return rows if len(now["rows"]) == 1 and now.get("whole") else rows.join(self.live(now), ["path", "oid"], "left_semi")
+
+    def save(self, rows: DataFrame) -> DataFrame:
+        """All rows anew, in one folder."""
+        old = self.current()
+        name = self._write(rows, "v")
+        live = self._write(self.spark.read.schema(INDEX).parquet(f"{self.root}/{name}").select("path", "oid"), "live")
+        before = [*old["rows"], old["live"]] if old else []
+        self._point({"rows": [name], "live": live, "whole": True, "before": before})
+        if old:
+            path, fs = self._fs()
+            keep = {name, live, *before, "CURRENT"}
+            for f in fs.listStatus(path.getParent()):
+                if f.getPath().getName() not in keep:
+                    fs.delete(f.getPath(), True)
         return self.load()
 
     def refresh(self, files: DataFrame, read) -> tuple[DataFrame, Stats]:
         """Bring the index to ``files`` (path, oid, lang). ``read`` adds texts to the files that must be parsed."""
-        old = self.load()
-        total = files.count()
-        if old is None:
+        now, total = self.current(), files.count()
+        if now is None:
             return self.save(parse(read(files))), Stats(total, total, 0, False)
-        known = old.select("path", "oid")
+        known = self.live(now)
         todo = files.join(known, ["path", "oid"], "left_anti")
         n = todo.count()
-        kept = old.join(files.select("path", "oid"), ["path", "oid"], "left_semi")
         if n == 0 and known.count() == total:
-            return old, Stats(total, 0, total, True)  # nothing is written
-        return self.save(kept.unionByName(parse(read(todo)))), Stats(total, n, total - n, True)
+            return self.load(), Stats(total, 0, total, True)  # nothing is written
+        new = self._write(parse(read(todo)), "d") if n else None
+        rows = [*now["rows"], *([new] if new else [])]
+        added = self.spark.read.schema(INDEX).parquet(f"{self.root}/{new}").select("path", "oid") if new else known.limit(0)
+        live = self._write(known.join(files.select("path", "oid"), ["path", "oid"], "left_semi").unionByName(added).distinct(), "live")
+        self._point({"rows": rows, "live": live, "whole": False, "before": [*now["rows"], now["live"]]})
+        index = self.save(self.load()) if len(rows) > self.MERGE else self.load()
+        return index, Stats(total, n, total - n, True)
 
 
 def index_work_tree(spark: SparkSession, root: str, store: str, staged: bool = False) -> tuple[DataFrame, Stats]:

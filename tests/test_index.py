@@ -5,7 +5,8 @@ import pytest
 from lodestone.plans import cli
 from lodestone.plans.commands import Context, Flags, run
 from lodestone.sources import git, scan
-from lodestone.sources.ingest import Tables, index_work_tree
+from lodestone.sources.ingest import IndexStore, Tables, index_work_tree
+from pyspark.sql import functions as F
 
 FILES = {
     "src/main/Service.scala": """package com.acme
@@ -132,6 +133,32 @@ def test_incremental(spark, repo, tmp_path):
     assert "Far" in {r[0] for r in Tables(old).symbols.select("name").collect()}
 
 
+def test_refresh_reads_and_writes_one_file(spark, repo, tmp_path):
+    """Only the edited file is read and written; a removed one leaves no row; many refreshes are merged to one folder."""
+    store = IndexStore(spark, str(tmp_path / "store"))
+    asked = []
+
+    def files(version):
+        return spark.createDataFrame([(f"f{i}.scala", f"o{i}" if i else f"v{version}", "scala") for i in range(4)], git.FILES)
+
+    def read(todo):
+        asked.append(sorted(r.path for r in todo.collect()))
+        return todo.withColumn("text", F.concat(F.lit("class "), F.upper(F.substring("oid", 1, 2))))
+
+    store.refresh(files(0), read)
+    for v in range(1, 4):
+        index, stats = store.refresh(files(v), read)
+        assert (stats.parsed_count, asked[-1]) == (1, ["f0.scala"])
+        assert sorted(r.name for r in Tables(index).symbols.select("name").collect()) == ["O1", "O2", "O3", f"V{v}"]
+        newest = spark.read.parquet(f"{store.root}/{store.current()['rows'][-1]}")
+        assert [r.path for r in newest.select("path").collect()] == ["f0.scala"]
+    index, stats = store.refresh(files(3).where("path <> 'f2.scala'"), read)
+    assert stats.parsed_count == 0 and index.count() == 3 and len(asked) == 4
+    store.MERGE = 1
+    index, _ = store.refresh(files(5).where("path <> 'f2.scala'"), read)
+    assert len(store.current()["rows"]) == 1 and index.count() == 3
+
+
 def test_def_and_ranking(ctx):
     assert names(ctx, "def DefaultService") == ["DefaultService", "DefaultService"]
     assert names(ctx, "def com.acme.model.Item") == ["Item"]

@@ -1,3 +1,4 @@
+import pytest
 from lodestone.operators import hierarchy, lookup, summary
 from pyspark.sql import functions as F
 
@@ -53,3 +54,25 @@ def test_first_stage_wins(spark):
 def test_per_group(spark):
     rows = spark.createDataFrame([("a", 3), ("a", 1), ("a", 2), ("b", 5)], "k string, v int")
     assert sorted((r.k, r.v) for r in lookup.per_group(rows, ["k"], [F.col("v")], 2).collect()) == [("a", 1), ("a", 2), ("b", 5)]
+
+
+def test_long_chains(spark, monkeypatch):
+    n = 1_500
+    chain = edges(spark, [(i, i + 1) for i in range(n)], "src long, dst long")
+    assert hierarchy.is_acyclic(chain) and not hierarchy.is_acyclic(chain.unionByName(edges(spark, [(n, 0)], "src long, dst long")))
+    assert {r.node: r.level for r in hierarchy.levels(chain).collect()} == {i: n - i for i in range(n + 1)}
+    with pytest.raises(ValueError):
+        hierarchy.levels(edges(spark, [("a", "b"), ("b", "a")], "src string, dst string"))
+    monkeypatch.setattr(hierarchy, "SMALL", 2)  # the way of large graphs
+    few = edges(spark, [("a", "b"), ("b", "c"), ("a", "c"), ("c", "d")], "src string, dst string")
+    assert hierarchy.is_acyclic(few) and {r.node: r.level for r in hierarchy.levels(few).collect()} == {"a": 3, "b": 2, "c": 1, "d": 0}
+    assert not hierarchy.is_acyclic(few.unionByName(edges(spark, [("d", "b")], "src string, dst string")))
+
+
+def test_expanded_implementations(spark):
+    """A below B below A again: listed once more, but not opened; two of three children of each go on."""
+    none = []
+    rows = [("B", "class", "b", 1, "p", ["A"]), ("A", "class", "a", 1, "p", ["B"]), ("C", "class", "c", 1, "p", ["B"]), ("D", "class", "d", 1, "p", ["B"]), ("E", "def", "a0", 1, "p", ["B"])]
+    s = spark.createDataFrame([(*r, none) for r in rows], "name string, kind string, path string, line int, package string, parents array<string>, type_param_parents array<string>")
+    tree = lookup.expanded(s, lookup.implementations(s, "A"), "p.a", 4, 3).collect()
+    assert sorted((r.depth, r.name, r.leaf) for r in tree) == [(1, "B", False), (2, "A", True), (2, "C", False)]

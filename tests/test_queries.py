@@ -1,7 +1,7 @@
 import re
 
 import pytest
-from lodestone.plans import registry
+from lodestone.plans import market, registry  # noqa: F401  (market adds to the registry)
 
 from conftest import SF
 
@@ -17,7 +17,7 @@ def test_package_symbols_of_all_paths(spark, tmp_path):
     part = spark.read.parquet(f"{SF}/part.parquet").limit(1)
     rows = part.drop("p_partkey", "p_brand", "p_name").crossJoin(spark.range(440, 560).selectExpr("id AS p_partkey", "'Brand#13' AS p_brand", "concat('n', lpad(cast(1000 - id AS string), 3, '0')) AS p_name"))
     rows.write.parquet(f"{tmp_path}/part.parquet")
-    got = [r.path for r in registry.QUERIES["package_symbols_all"](spark, str(tmp_path)).collect()]
+    got = [r.path for r in registry.QUERIES["package_symbols"](spark, str(tmp_path)).collect()]
     assert got == [f"{i:08d}" for i in range(559, 509, -1)]
 
 
@@ -43,7 +43,7 @@ def test_search_over_all_tiers(spark):
     wanted = {(x["name"], x["path"], x["line"], x["package"], t) for x in s if (t := brute_tier(x["name"], "CR"))}
     got = [tuple(r) for r in registry.QUERIES["search_all_tiers"](spark, SF).collect()]
     assert sorted(got) == sorted(wanted) and any(r[-1] == 5 for r in got)
-    ranked = [tuple(r) for r in registry.QUERIES["search_all_ranked"](spark, SF).collect()]
+    ranked = [tuple(r) for r in registry.QUERIES["search_ranked"](spark, SF).collect()]
     assert len(ranked) == min(20, len(got)) and [r[-1] for r in ranked] == sorted(r[-1] for r in got)[:20]
     files = {(f"src/{x['name']}.scala", t) for x in s if (t := brute_tier(x["name"], "CR", ends=False))}
     order = sorted(files, key=lambda f: (f[1], len(f[0]) if f[1] == 5 else 0, f[0]))
