@@ -193,6 +193,11 @@ def _clean(text: str) -> str:
     return re.sub(r"\s+", " ", text).strip()
 
 
+def _first_line(masked: str, at: int, lines: _Lines) -> int:
+    """The line on which a declaration begins, with its annotations and modifiers."""
+    return lines.of(re.compile(r"\s*").match(masked, at).end())
+
+
 def scala(src: str) -> Source:
     masked = mask(src)
     pairs = brackets(masked)
@@ -230,7 +235,10 @@ def scala(src: str) -> Source:
             kind = "object"
         if kind == "case":  # a case of an enum is no symbol of its own
             continue
-        decls += _scala_decl(src, masked, kind, at, rest, line, lines, pairs, mods, annots)
+        found = _scala_decl(src, masked, kind, at, rest, line, lines, pairs, mods, annots)
+        for d in found:
+            d.line = _first_line(masked, m.start(), lines)
+        decls += found
     _nest(decls, lines)
     return Source(package[0] if package else "", decls, imports, False)
 
@@ -428,7 +436,7 @@ def java(src: str) -> Source:
         tparams = re.match(r"\s*(<.*?>)(?=\s*(extends|implements|\(|$))", head, re.S)
         word = {"trait": "interface"}.get(kind, t["kind"])
         sig = f"{word} {t['name']}{_clean(tparams[1]) if tparams else ''}" + (f" extends {', '.join(parents)}" if parents else "")
-        d = Decl(t["name"], kind, t.start("kind"), open_, end, lines.of(t.start("kind")), 0, sig, parents, _type_parents(parents, up), [a.rpartition(".")[2] for a in re.findall(r"@([\w.]+)", t["annots"])], tuple(t["mods"].split()))
+        d = Decl(t["name"], kind, t.start("kind"), open_, end, _first_line(masked, t.start(), lines), 0, sig, parents, _type_parents(parents, up), [a.rpartition(".")[2] for a in re.findall(r"@([\w.]+)", t["annots"])], tuple(t["mods"].split()))
         decls.append(d)
         if open_ in pairs:
             inner = open_ + 1
@@ -451,7 +459,7 @@ def java(src: str) -> Source:
             if not m or m["name"] != owner.name:
                 return None
         annots = [a.rpartition(".")[2] for a in re.findall(r"@([\w.]+)", m["annots"])]
-        mods, at = tuple(m["mods"].split()), m.start("name")
+        mods, at, line = tuple(m["mods"].split()), m.start("name"), _first_line(masked, m.start(), lines)
         if m["tail"] == "(":
             close = pairs[m.end() - 1]
             stop = close + 1
@@ -460,13 +468,13 @@ def java(src: str) -> Source:
             end = pairs[stop] + 1 if stop in pairs else stop + 1
             params = _clean(src[m.end() - 1 : close + 1])
             if ctor:
-                return Decl("<init>", "def", at, stop, end, lines.of(at), 0, f"{owner.name}{params}", annotations=annots, modifiers=mods)
-            return Decl(m["name"], "def", at, stop, end, lines.of(at), 0, f"def {m['name']}{params}: {_clean(m['type'])}", annotations=annots, modifiers=(*mods, *(["override"] if "Override" in annots else [])), abstract=stop not in pairs)
+                return Decl("<init>", "def", at, stop, end, line, 0, f"{owner.name}{params}", annotations=annots, modifiers=mods)
+            return Decl(m["name"], "def", at, stop, end, line, 0, f"def {m['name']}{params}: {_clean(m['type'])}", annotations=annots, modifiers=(*mods, *(["override"] if "Override" in annots else [])), abstract=stop not in pairs)
         stop = m.end() - 1
         while stop < b and masked[stop] != ";":
             stop = pairs[stop] + 1 if stop in pairs else stop + 1
         kind = "val" if "final" in mods or owner.kind == "trait" else "var"
-        return Decl(m["name"], kind, at, stop, stop + 1, lines.of(at), 0, f"{kind} {m['name']}: {_clean(m['type'])}", annotations=annots, modifiers=mods)
+        return Decl(m["name"], kind, at, stop, stop + 1, line, 0, f"{kind} {m['name']}: {_clean(m['type'])}", annotations=annots, modifiers=mods)
 
     block(0, len(masked), None)
     _nest(decls, lines)

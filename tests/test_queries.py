@@ -1,7 +1,7 @@
 import re
 
 import pytest
-from lodestone.plans import market, registry  # noqa: F401  (market adds to the registry)
+from lodestone.plans import market, registry, specimens  # noqa: F401  (both others add to the registry)
 
 from conftest import SF
 
