@@ -53,10 +53,27 @@ def test_token_output(spark):
         wanted.append((key, at, len(x), crc(x)))
         at += len(x)
     assert got == sorted(wanted)
-    assert files.get(spark, 8).tolist() == [*ids("one two"), 2]
-    assert files.get(spark, 14, 1) is not None and files.get(spark, 14, 2) is None and files.get(spark, 999) is None
+    assert files.get(8).tolist() == [*ids("one two"), 2]
+    assert files.get(14, 0).tolist() == [*ids("a text"), 2] and files.get(14, 1) is not None and files.get(14, 2) is None and files.get(999) is None
     none = token_output.write(empty(spark), default_path())
-    assert token_output.read(none, empty(spark)).count() == 0 and none.get(spark, 1) is None
+    assert token_output.read(none, empty(spark)).count() == 0 and none.get(1) is None
+
+
+def test_token_files_are_opened_again(spark, tmp_path):
+    """Another session's view: the folder and its manifest alone. A third of the rows share one id, as many have none."""
+    rows = [(i if i % 3 else 7 if i % 2 else None, f"text {i % 50}") for i in range(600)]
+    token_output.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), default_path(), shards=4, path=str(tmp_path / "files"))
+    files = token_output.open_files(str(tmp_path / "files"))
+    assert (files.shards, files.end_id, files.width, files.tokenizer) == (4, 2, 2, default_path()) and max(files.sizes) < 2 * sum(files.sizes) / 4
+    every = np.concatenate([files.shard(i) for i in range(files.shards)])
+    order = sorted(((-1 if i is None else i), t) for i, t in rows)
+    assert sorted(every.tolist()) == sorted(x for _, t in order for x in [*ids(t), 2]) and files.starts == np.cumsum([0, *files.sizes])[:-1].tolist()
+    for key in (None, 7, 1):
+        own = sorted(tuple(files.get(key, c).tolist()) for c in range(sum(i == key for i, _ in rows)))
+        assert own == sorted((*ids(t), 2) for i, t in rows if i == key) and files.get(key, len(own)) is None
+    got = token_output.read(files, spark.createDataFrame([(7,), (7,), (None,), (1,), (12345,)], "doc_id long")).collect()
+    assert sorted(-1 if r.doc_id is None else r.doc_id for r in got) == sorted((-1 if i is None else i) for i, _ in rows if i in (None, 7, 1))
+    assert all(crc(every[r.start : r.start + r.n_tokens]) == r.ids_crc32 for r in got)
 
 
 def test_packing(spark):
