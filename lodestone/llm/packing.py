@@ -6,10 +6,10 @@ bounded-space online best-fit: a fixed number of bins is open; a bitset keyed by
 fullest bin that still fits in one shift and one lowest-bit test; if none fits and all are open, the
 fullest one closes. Only lengths take part, never texts.
 
-Packing runs in tasks of about ``rows_per_task`` pieces each. Pieces arrive in falling length (ties by
-document and piece), which makes best-fit its better, decreasing variant as long as ``open_bins`` is not
-reached; only the last few bins of a task could be fuller, so the loss against one global packer does not
-depend on the size of the input.
+Packing runs in tasks of about ``rows_per_task`` pieces each, dealt out evenly whatever their ids. Within a task pieces arrive in the order of a hash, and a window
+of twice ``open_bins`` pieces is looked ahead: its pieces are placed in falling length (ties by document and place). So large pieces begin bins that the small ones of the same
+window fill, the memory of a task is bounded by the window and the open bins, and the loss against the least possible number of
+sequences does not depend on the size of the input.
 
 Defined cases: null and empty texts give one piece with the end id alone; null ids pack like others;
 repeated rows are packed once each; an empty table gives no rows; extra columns are ignored.
@@ -26,10 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .shared import materialise
+from .shared import free_name, materialise
 from .tokens import batch_encoder
 
-MAX_LEN, END_ID, OPEN_BINS, ROWS_PER_TASK = 2048, 0, 32_768, 50_000
+MAX_LEN, END_ID, OPEN_BINS, ROWS_PER_TASK = 2048, 0, 1_024, 100_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
 
@@ -105,23 +105,44 @@ class Packer:
 def pack(
     rows: DataFrame, capacity: int = MAX_LEN, open_bins: int = OPEN_BINS, rows_per_task: int = ROWS_PER_TASK
 ) -> DataFrame:
-    """Adds ``sequence_id`` and ``offset`` to rows with doc_id, piece and length (1 to ``capacity``)."""
+    """Adds ``sequence_id`` and ``offset`` to rows with a length (1 to ``capacity``), of a table that reads alike each time."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         packer, base = Packer(capacity, open_bins), TaskContext.get().partitionId() << 40
-        for batch in batches:
-            got = [packer.place(n) for n in batch.column("length").to_pylist()]
+        for window in _windows(batches, 2 * open_bins):
+            window = window.sort_by([("length", "descending"), *((c, "ascending") for c in ("doc_id", "piece") if c in window.schema.names)])
+            got = [packer.place(n) for n in window.column("length").to_pylist()]
             seq = pa.array([base + x for x, _ in got], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, seq, pa.array([x for _, x in got], pa.int64())], names=[*batch.schema.names, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*window.columns, seq, pa.array([x for _, x in got], pa.int64())], names=[*window.schema.names, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     tasks = max(1, -(-rows.count() // rows_per_task))
-    spread = rows.repartition(tasks, F.xxhash64("doc_id", "piece")).sortWithinPartitions(F.desc("length"), "doc_id", "piece")
+    # Dealt out and ordered by a hash of the row's place in the table, so rows with equal ids, null ones or repeated ones meet in no task and no window more than others
+    # do; a repeated task reads the same places and so sees the same order.
+    order = free_name(rows.columns, "order")
+    numbered = rows.withColumn(order, F.xxhash64(F.monotonically_increasing_id()))
+    spread = numbered.repartition(tasks, order).sortWithinPartitions(order).drop(order)
     return spread.mapInArrow(place, f"{schema}, sequence_id long, offset long")
 
 
+def _windows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in batches of ``size``."""
+    held, n = [], 0
+    for batch in batches:
+        while n + batch.num_rows >= size:
+            held.append(batch.slice(0, size - n))
+            batch = batch.slice(size - n)
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def best_fit(docs: DataFrame, tokenizer: str, max_len: int = MAX_LEN, end_id: int = END_ID, **options) -> DataFrame:
     """Documents packed into sequences of at most ``max_len`` tokens; see the module's text."""
     return pack(materialise(pieces(docs, tokenizer, max_len, end_id), "pieces"), max_len, **options)

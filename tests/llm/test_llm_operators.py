@@ -94,6 +94,23 @@ def test_packing(spark):
     assert packing.best_fit(empty(spark), default_path()).count() == 0
 
 
+def test_packing_takes_few_sequences(spark):
+    """Many more pieces than open bins, a third of the rows equal and without an id: against the least number that the sum of lengths allows."""
+    rng = random.Random(3)
+    rows = [(None, 0, 0, 500, 1)] * 5_000 + [(i, 0, 0, min(2048, int(rng.lognormvariate(6.3, 1.1)) + 1), i) for i in range(10_000)]
+    given = spark.createDataFrame(rows, packing.PIECES)
+    got = packing.pack(given, open_bins=256, rows_per_task=4_000)
+    per = got.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.count_distinct("offset").alias("at"), F.count("*").alias("rows"))
+    assert per.where("n > 2048 or at < rows").count() == 0 and got.count() == len(rows)
+    least = -(-sum(r[3] for r in rows) // 2048)
+    assert least <= per.count() <= 1.01 * least
+    by_task = [r[0] for r in got.groupBy(F.shiftright("sequence_id", 40)).count().select("count").collect()]
+    assert max(by_task) <= 1.2 * min(by_task)
+    packer = packing.Packer(2048, 256)
+    closed = sum(packer.place(r[3])[0] >= 0 and packer.open == 256 for r in rows)
+    assert closed > 1_000  # the bound binds
+
+
 def test_quality(spark):
     docs, rows = hostile(spark)
     got = sorted(((-1 if r.doc_id is None else r.doc_id), r.n_words, r.base_failed) for r in quality.repetition_rules(docs).collect())
