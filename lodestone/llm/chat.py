@@ -4,17 +4,15 @@ Template: ``<|im_start|>role``, a line end, the text, ``<|im_end|>`` and a line
 ``<`` and ``|`` with n backslashes between them get one more, so no control string can stand there; taking one away restores the
 text. A line end in a role is escaped likewise.
 
-Conversations that share initial turns are merged: rows are brought to trees by their first turn, sorted so that
+Conversations that share initial turns are merged: rows are sorted so that
 conversations with equal beginnings follow each other, and each turn is emitted once, depth-first, when a
-conversation leaves the path of the one before. One output row holds a *pack*: the formatted text of whole trees or of parts of a
-large one, and for each node its place, the position id of its first character (as if its ancestors alone stood before it), its parent, and the
-intervals of its ancestors, to which attention is limited. A pack ends at ``PACK_CHARS``; a tree that goes on in another pack
-repeats there the turns of the current path only. Conversations are ordered by all their turns, so shared beginnings of any length follow each
-other. A first turn that more than ``HOT`` conversations share is dealt out by ranges of that order, of about as many each (larger ones beyond
-``MAX_RANGES``); only the turns of the path on which a range begins are repeated.
+conversation leaves the path of the one before. One output row holds a *pack* of token ids: for each id its position (as if its ancestors alone stood before it), for each node (a turn)
+where its ids begin and end, how many of them are its head and its tail, its parent, and the intervals of ids to which its attention is limited: those of its ancestors, joined where they touch, so that
+a node has no more of them than its path has branches. Heads, contents and tails are encoded apart, so ids of a content are under the loss mask as a whole and decode to it.
 
-Position ids and intervals count characters; ``spans`` in tokens follow by encoding each node apart, as nodes begin and end at
-control strings.
+Conversations are ordered by all their turns and cut into ranges of about ``PER_RANGE`` of them (more where there would be over ``MAX_RANGES``); one task packs a range. A pack
+is a training example, in which attention cannot leave the pack, so where a range begins, or where a pack of ``PACK_CHARS`` ends, the turns of the current path are emitted again: those of one
+conversation for each range or pack, whatever its tree. All other shared turns are emitted once. Equal conversations are told apart by their ids in that order, so they are dealt out too.
 
 Defined cases: null texts are empty, null roles too; a null conv_id is one conversation of its own; rows with
 equal turn are ordered by role and text, all kept; empty tables give no rows; extra columns are ignored.
@@ -27,17 +25,21 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .shared import materialise
+from .tokens import BatchEncoder, batch_encoder
 
 START, END = "<|im_start|>", "<|im_end|>"
 LOSS_ROLE = "assistant"
-PACK_CHARS, HOT, MAX_RANGES, MAX_BROADCAST = 4_000_000, 2_000, 2_000, 500_000
+PACK_CHARS, PER_RANGE, MAX_RANGES = 4_000_000, 2_000, 2_000
 PACK = (
-    "text string, starts array<int>, ends array<int>, positions array<int>, parents array<int>, loss_starts array<int>, loss_ends array<int>, "
+    "ids array<int>, positions array<int>, starts array<int>, ends array<int>, heads array<int>, tails array<int>, parents array<int>, loss_starts array<int>, loss_ends array<int>, "
     "ancestors array<array<struct<start:int,end:int>>>, convs array<struct<conv_id:long,leaf:int>>"
 )
 RESULT = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
@@ -76,105 +78,106 @@ def parsed(turn: str) -> tuple[str, str]:
 
 
 class _Pack:
+    """Nodes of a pack: their texts first, ids when it is full."""
+
     def __init__(self):
-        self.parts: list[str] = []
         self.size = 0
-        self.nodes: list[tuple] = []
-        self.loss: list[tuple[int, int]] = []
+        self.parts: list[str] = []
+        self.parents: list[int] = []
+        self.loss: list[int] = []
         self.convs: list[tuple[int | None, int]] = []
 
-    def add(self, role: str, text: str, path: list[tuple]) -> tuple:
+    def add(self, role: str, text: str, parent: int) -> int:
         turn, a, b = formatted(role, text)
-        start = self.size
-        above = [(n[1], n[2]) for n in path]
-        node = (len(self.nodes), start, start + len(turn), sum(e - s for s, e in above), path[-1][0] if path else -1, above)
-        self.nodes.append(node)
-        self.parts.append(turn)
+        self.parts += [turn[:a], turn[a:b], turn[b:]]
         self.size += len(turn)
         if role == LOSS_ROLE:
-            self.loss.append((start + a, start + b))
-        return node
-
-    def row(self) -> dict:
+            self.loss.append(len(self.parents))
+        self.parents.append(parent)
+        return len(self.parents) - 1
+
+    def row(self, enc: BatchEncoder) -> dict:
+        ids, at = enc.encode(pa.array(self.parts, pa.large_string()))
+        starts, ends, bodies, tails = at[:-1:3], at[3::3], at[1::3], at[2::3]
+        size, depth = ends - starts, np.zeros(len(starts), np.int64)  # depth: ids of all ancestors
+        above: list[list[dict]] = []
+        for i, p in enumerate(self.parents):
+            own: list[dict] = []
+            if p >= 0:
+                depth[i] = depth[p] + size[p]
+                own, last = list(above[p]), {"start": int(starts[p]), "end": int(ends[p])}
+                if own and own[-1]["end"] == last["start"]:
+                    own[-1] = {"start": own[-1]["start"], "end": last["end"]}
+                else:
+                    own.append(last)
+            above.append(own)
         return {
-            "text": "".join(self.parts), "starts": [n[1] for n in self.nodes], "ends": [n[2] for n in self.nodes], "positions": [n[3] for n in self.nodes], "parents": [n[4] for n in self.nodes],
-            "loss_starts": [a for a, _ in self.loss], "loss_ends": [b for _, b in self.loss],
-            "ancestors": [[{"start": s, "end": e} for s, e in n[5]] for n in self.nodes], "convs": [{"conv_id": c, "leaf": n} for c, n in self.convs],
+            "ids": ids.astype(np.int32), "positions": (np.arange(len(ids)) + np.repeat(depth - starts, size)).astype(np.int32), "starts": starts, "ends": ends, "heads": bodies - starts, "tails": ends - tails,
+            "parents": self.parents, "loss_starts": bodies[self.loss], "loss_ends": tails[self.loss], "ancestors": above, "convs": [{"conv_id": c, "leaf": n} for c, n in self.convs],
         }
 
 
-_ARROW = pa.schema(
-    [("text", pa.string())]
-    + [(c, pa.list_(pa.int32())) for c in ("starts", "ends", "positions", "parents", "loss_starts", "loss_ends")]
-    + [("ancestors", pa.list_(pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))), ("convs", pa.list_(pa.struct([("conv_id", pa.int64()), ("leaf", pa.int32())])))]
-)
-
-
-def _few(hot: DataFrame) -> DataFrame:
-    """Beginnings that very many conversations share: at most one for each ``hot`` of those, so they are broadcast as long as they
-    are no more than ``MAX_BROADCAST``; a join on the beginning would bring all its conversations to one task."""
-    hot = materialise(hot, "beginnings")
-    return F.broadcast(hot) if hot.count() <= MAX_BROADCAST else hot
-
-
-def packs(conversations: DataFrame, pack_chars: int = PACK_CHARS, depth: int | None = None, hot: int = HOT) -> DataFrame:
-    """Depth-first packs of all conversations (conv_id, turn, role, text): see ``PACK``. ``depth`` is without effect and kept for callers."""
+def packs(conversations: DataFrame, tokenizer: str, pack_chars: int = PACK_CHARS, per_range: int = PER_RANGE) -> DataFrame:
+    """Depth-first packs of all conversations (conv_id, turn, role, text): see ``PACK``."""
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumns({"k": F.coalesce("conv_id", F.lit(0)), "none": F.col("conv_id").isNull()})
     rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("k", "none").orderBy("turn", "role", "text")))
-    # All conversations in the order of their whole paths of turns, cut into ranges; a first turn of more than ``hot`` is dealt out by those.
+    # All conversations in the order of their whole paths of turns, cut into ranges.
     told_turns = F.array_sort(F.collect_list(F.struct("n", F.xxhash64("role", "text").alias("h"))))
     heads = materialise(rows.groupBy("k", "none").agg(F.transform(told_turns, lambda x: x.h).alias("path")), "heads")
-    ranges = min(heads.count() // hot + 1, MAX_RANGES)
+    ranges = min(heads.count() // per_range + 1, MAX_RANGES)
     order = heads.repartitionByRange(ranges, "path", "k", "none").sortWithinPartitions("path", "k", "none")
-    order = materialise(order.select("k", "none", F.get("path", F.lit(0)).alias("p1"), F.monotonically_increasing_id().alias("place"), F.spark_partition_id().alias("range")), "order")
-    begins = _few(order.groupBy("p1").count().where(F.col("count") > hot).select("p1", F.lit(True).alias("dealt")))
-    tree = F.xxhash64("p1", F.when(F.col("dealt"), F.col("range")))
-    rows = rows.join(order.join(begins, "p1", "left").select("k", "none", "place", tree.alias("tree")), ["k", "none"])
+    order = materialise(order.select("k", "none", F.monotonically_increasing_id().alias("place"), F.spark_partition_id().alias("range")), "order")
+    schema = to_arrow_schema(StructType.fromDDL(PACK))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack, path, now, tree = _Pack(), [], object(), None  # path: (node, role, text) of the conversation under way
-        matched = 0
-        told = lambda p: pa.RecordBatch.from_pylist([p.row()], schema=_ARROW)
-        conv = None
+        enc = batch_encoder(tokenizer)
+        pack, path, matched, conv = _Pack(), [], 0, None  # path: (node, role, text) of the conversation under way
+        told = lambda p: pa.RecordBatch.from_pylist([p.row(enc)], schema=schema)
         for batch in batches:
-            for t, c, role, text in zip(*(batch.column(x).to_pylist() for x in ("tree", "conv_id", "role", "text")), strict=True):
-                if (t, c) != now:
+            for place, c, role, text in zip(*(batch.column(x).to_pylist() for x in ("place", "conv_id", "role", "text")), strict=True):
+                if conv is None or place != conv[0]:
                     if conv is not None:
-                        pack.convs.append((conv[0], path[matched - 1][0][0]))
+                        pack.convs.append((conv[1], path[matched - 1][0]))
                     if pack.size >= pack_chars:
                         yield told(pack)
                         pack, path = _Pack(), []
-                    if t != tree:
-                        path = []
-                    now, tree, conv, matched = (t, c), t, (c,), 0
+                    conv, matched = (place, c), 0
                 if matched < len(path) and path[matched][1:] == (role, text):
                     matched += 1
                     continue
                 del path[matched:]
-                path.append((pack.add(role, text, [x[0] for x in path]), role, text))
+                path.append((pack.add(role, text, path[-1][0] if path else -1), role, text))
                 matched += 1
         if conv is not None:
-            pack.convs.append((conv[0], path[matched - 1][0][0]))
+            pack.convs.append((conv[1], path[matched - 1][0]))
             yield told(pack)
 
-    dealt = rows.repartition("tree").sortWithinPartitions("tree", "place", "n").select("tree", "conv_id", "role", "text")
+    parts = order.agg(F.max("range")).first()[0]
+    dealt = rows.join(order, ["k", "none"]).repartitionById((parts or 0) + 1, F.col("range")).sortWithinPartitions("place", "n").select("place", "conv_id", "role", "text")
     return dealt.mapInArrow(emit, PACK)
 
 
-def unpack(packed: DataFrame) -> DataFrame:
-    """Digests of every conversation, read back from packs: see ``RESULT``."""
+def unpack(packed: DataFrame, tokenizer: str) -> DataFrame:
+    """Digests of every conversation, read back from the ids of packs: see ``RESULT``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decode = batch_encoder(tokenizer).one.tokenizer.decode_batch
         for batch in batches:
             for i in range(batch.num_rows):
-                p = {c: batch.column(c)[i].as_py() for c in ("text", "starts", "ends", "parents", "loss_starts", "loss_ends", "convs")}
-                masks: dict[int, list[tuple[int, int]]] = {}
-                node = 0
-                for a, b in zip(p["loss_starts"], p["loss_ends"], strict=True):
-                    while p["ends"][node] <= a:
-                        node += 1
-                    masks.setdefault(node, []).append((a, b))
+                p = {c: batch.column(c)[i].as_py() for c in ("starts", "ends", "heads", "tails", "parents", "loss_starts", "loss_ends", "convs")}
+                ids = batch.column("ids")[i].values.to_numpy()
+                cut = [(a, a + h, e - t, e) for a, e, h, t in zip(p["starts"], p["ends"], p["heads"], p["tails"], strict=True)]
+                parts = decode([ids[x:y].tolist() for a, b, c, e in cut for x, y in ((a, b), (b, c), (c, e))], skip_special_tokens=False)
+                # A node's ids under the mask are those of spans that lie in it; spans and nodes are both in the order of ids.
+                spans = decode([ids[a:b].tolist() for a, b in zip(p["loss_starts"], p["loss_ends"], strict=True)], skip_special_tokens=False)
+                under, n = [[] for _ in cut], 0
+                for a, text in zip(p["loss_starts"], spans, strict=True):
+                    while cut[n][3] <= a:
+                        n += 1
+                    under[n].append(unescape(text))
+                turns_ = ["".join(parts[3 * n : 3 * n + 3]) for n in range(len(cut))]
+                nodes = [(*parsed(t), len(t), u) for t, u in zip(turns_, under, strict=True)]
                 out = []
                 for conv in p["convs"]:
                     line, at = [], conv["leaf"]
@@ -183,14 +186,12 @@ def unpack(packed: DataFrame) -> DataFrame:
                         at = p["parents"][at]
                     turns, loss, chars, size = hashlib.sha256(), hashlib.sha256(), 0, 0
                     for n in reversed(line):
-                        raw = p["text"][p["starts"][n] : p["ends"][n]]
-                        role, text = parsed(raw)
+                        role, text, length, said = nodes[n]
                         turns.update(f"{role}\n{text}\n".encode())
-                        size += len(raw)
-                        for a, b in masks.get(n, ()):
-                            under = unescape(p["text"][a:b])
-                            chars += len(under)
-                            loss.update(under.encode())
+                        size += length
+                        for x in said:
+                            chars += len(x)
+                            loss.update(x.encode())
                     out.append((conv["conv_id"], len(line), turns.hexdigest(), chars, loss.hexdigest(), size))
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
@@ -198,6 +199,6 @@ def unpack(packed: DataFrame) -> DataFrame:
     return packed.mapInArrow(run, RESULT)
 
 
-def format_and_read(conversations: DataFrame, **options) -> DataFrame:
+def format_and_read(conversations: DataFrame, tokenizer: str, **options) -> DataFrame:
     """Formats all conversations, writes the packs into the shared folder, and reads every conversation back."""
-    return unpack(materialise(packs(conversations, **options), "packs"))
+    return unpack(materialise(packs(conversations, tokenizer, **options), "packs"), tokenizer)

@@ -51,7 +51,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-1, 0, "user", HOSTILE), (-1, 1, "assistant", HOSTILE)], "conv_id long, turn long, role string, text string")
-    return chat.format_and_read(given.unionByName(extra))
+    return chat.format_and_read(given.unionByName(extra), default_path())
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

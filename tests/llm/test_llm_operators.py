@@ -369,10 +369,10 @@ def conversations(spark):
     return spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, n int"), rows
 
 
-@pytest.mark.parametrize("options", [{}, {"pack_chars": 50, "hot": 2, "depth": 3}])
+@pytest.mark.parametrize("options", [{}, {"pack_chars": 50, "per_range": 2}])
 def test_chat(spark, options):
     given, rows = conversations(spark)
-    got = {r.conv_id: tuple(r)[1:] for r in chat.format_and_read(given, **options).collect()}
+    got = {r.conv_id: tuple(r)[1:] for r in chat.format_and_read(given, default_path(), **options).collect()}
     by: dict = {}
     for c, t, role, text in rows:
         by.setdefault(c, []).append((t, role or "", text or ""))
@@ -383,34 +383,65 @@ def test_chat(spark, options):
         wanted = (len(turns), hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in turns).encode()).hexdigest(), len(said), hashlib.sha256(said.encode()).hexdigest(), size)
         assert got[c] == wanted
     assert len(got) == len(by)
-    assert chat.format_and_read(given.limit(0)).count() == 0
+    assert chat.format_and_read(given.limit(0), default_path()).count() == 0
+
+
+def text_of(packs):
+    return "".join(ids_of.decode(p.ids, skip_special_tokens=False) for p in packs)
 
 
 def test_chat_shares_turns(spark):
-    given, _ = conversations(spark)
-    packs = chat.packs(given).collect()
-    text = "".join(p.text for p in packs)
+    """Shared turns once; every id has the position, and every node the attention, that it has in a conversation by itself."""
+    given, rows = conversations(spark)
+    packs = chat.packs(given, default_path()).collect()
+    text = text_of(packs)
     assert text.count("hi") == 1 and text.count("turn 3<") == 1 + 2  # turn 3 of all, and turns 9 and 10 of one
+    turns: dict = {}
+    for c, t, role, said in rows:
+        turns.setdefault(c, []).append((t, role or "", said or ""))
     for p in packs:
-        for i, parent in enumerate(p.parents):
-            above = [] if parent < 0 else [*p.ancestors[parent], (p.starts[parent], p.ends[parent])]
-            assert [tuple(a) for a in p.ancestors[i]] == [tuple(a) for a in above]
-            assert p.positions[i] == sum(b - a for a, b in above)
+        assert len(p.positions) == len(p.ids)
+        for conv in p.convs:
+            line, at = [], conv.leaf
+            while at >= 0:
+                line.insert(0, at)
+                at = p.parents[at]
+            alone = [x for _, role, said in sorted(turns[conv.conv_id]) for s, a, b in [chat.formatted(role, said)] for part in (s[:a], s[a:b], s[b:]) for x in ids(part)]
+            own = [j for n in line for j in range(p.starts[n], p.ends[n])]
+            assert [p.ids[j] for j in own] == alone and [p.positions[j] for j in own] == list(range(len(own)))
+            for k, n in enumerate(line):
+                seen = [j for s in p.ancestors[n] for j in range(s.start, s.end)]
+                assert seen == [j for m in line[:k] for j in range(p.starts[m], p.ends[m])]
+                assert len(p.ancestors[n]) <= k
+        said = [ids_of.decode(p.ids[a:b], skip_special_tokens=False) for a, b in zip(p.loss_starts, p.loss_ends, strict=True)]
+        assert all("<|" not in x for x in said)
+
+
+def test_chat_attention_of_long_conversations(spark):
+    """Two hundred turns one after another: one interval each, not one for each ancestor."""
+    packs = chat.packs(spark.createDataFrame([(1, t, "user", f"turn {t}") for t in range(200)], "conv_id long, turn long, role string, text string"), default_path()).collect()
+    assert max(len(a) for p in packs for a in p.ancestors) == 1
 
 
 def test_chat_shares_turns_of_dealt_trees(spark):
     """A system prompt of all, ten second turns of ten conversations each, which go on alike up to the sixth turn."""
     rows = [(c, t, "user", "system" if t == 0 else f"turn {t} of {c % 10}" if t < 5 else f"last {c}") for c in range(100) for t in range(6 + c % 3)]
-    packs = chat.packs(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), hot=10).collect()
-    text = "".join(p.text for p in packs)
+    text = text_of(chat.packs(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), default_path(), per_range=10).collect())
     assert 1 < text.count("system") <= 11
     for t in range(1, 5):
         assert text.count(f"turn {t} of ") <= 10 + 10  # each once, and again where one of 11 ranges begins
 
 
+def test_chat_deals_out_equal_conversations(spark):
+    """Three hundred conversations of the same turns: no range has more than its share of them."""
+    rows = [(c, t, "user", f"turn {t}") for c in range(300) for t in range(3)]
+    packs = chat.packs(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), default_path(), per_range=30).collect()
+    assert sum(len(p.convs) for p in packs) == 300 and max(len(p.convs) for p in packs) < 80 and text_of(packs).count("turn 1<") == len(packs)
+
+
 def test_chat_shares_deep_turns(spark):
     rows = [(c, t, "user", f"turn {t}" if t < 8 else f"branch {c % 2}" if t == 8 else f"last {c}") for c in range(40) for t in range(10)]
-    text = "".join(p.text for p in chat.packs(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect())
+    text = text_of(chat.packs(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), default_path()).collect())
     assert text.count("branch 0") == text.count("branch 1") == 1
 
 
