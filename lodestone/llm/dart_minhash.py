@@ -13,7 +13,7 @@ Classes. Copies (equal word sequences) collapse first, so later steps see differ
 exactly on the shingle sets, against the leader (least member) that it meets in most buckets; then, where a bucket still holds two classes,
 members against the leader of another class. Buckets that hold two classes even then, as those of a much-copied passage do, are settled
 by an exact way: their texts are joined on the rarest fifth of their shingles, in one of which two texts at the threshold must meet (prefix filter with positions),
-and groups of that join are worked off leader by leader, with four times as many leaders a round from the third round on. So every pair that shares a bucket
+and groups of that join are worked off leader by leader, with four times as many leaders a round from the third round on, up to ``LEADERS``. So every pair that shares a bucket
 is verified, excluded by the filter, or in one class already. Classes are connected components of verified links, named by their least doc_id.
 
 Defined cases: a text of one to four words is one shingle; null texts and texts without words are alone; null ids have a
@@ -40,6 +40,8 @@ from .shared import materialise, scratch, tidy
 SHINGLE, K, ROWS, THRESHOLD = 5, 128, 4, 0.8
 SIGNED = "doc_id long, text_key long, content array<long>, bands array<long>"
 GROUP = 2 << 20
+#: The most leaders of a group in one round, so that no round brings more than so many rows to each member of a group.
+LEADERS = 256
 
 
 def shingles(w: words.Words, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -187,6 +189,8 @@ class _Classes:
         own = judged.select("a", "b")
         self.judged = own if self.judged is None else self.judged.unionByName(own)
         c = self.label.select("id", "component")
+        if judged.where("linked").isEmpty():
+            return
         links = judged.where("linked").join(c.toDF("a", "ca"), "a").join(c.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a <> b").distinct()
         links = materialise(links, "links")
         if links.isEmpty():
@@ -247,7 +251,7 @@ def _near_duplicates(docs: DataFrame, threshold: float, k: int, rows: int) -> Da
         top = now.where("id = first") if leaders < 4 else now.withColumn("place", place).where(F.col("place") <= leaders).drop("place")
         classes.judge(classes.pairs(now, top))
         member = materialise(now.join(top.select("key", "id"), ["key", "id"], "left_anti").select("key", "id", "at"), "prefixes")
-        leaders *= 2 if leaders < 4 else 4
+        leaders = min(leaders * (2 if leaders < 4 else 4), LEADERS)
     named = texts.select("content", "id").join(classes.label.select("id", "component"), "id", "left").select("content", F.coalesce("component", "id").alias("class_id"))
     ranked = signed.select("doc_id", "text_key", "content").join(named, "content").select("doc_id", "text_key", "class_id").distinct()
     out = docs.select("doc_id", "text_key").join(ranked, ["doc_id", "text_key"], "left")

@@ -8,7 +8,7 @@ gives candidate places, and each further list keeps those that it holds at its o
 with a term that the row lacks costs nothing. Places that cross a document's end are no matches.
 
 No posting is shuffled, so a frequent term or a passage in very many documents loads no task more than
-its own documents do. Phrases come in blocks of at most ``BLOCK_CHARS`` characters of items; each block is a pass of its own
+its own documents do. Phrases come in blocks of about ``BLOCK_CHARS`` characters of distinct items, of which longer ones are cut with an overlap; each block is a pass of its own
 over the index, and results of all blocks are merged by document. The postings table has no stop list.
 
 Defined cases: null texts have no words; items without words have no windows; an item of fewer than
@@ -271,6 +271,27 @@ def _digest(found: DataFrame) -> DataFrame:
     return found.mapInArrow(digest, RESULT)
 
 
+def _pieces(window: int, block_chars: int):
+    """Items of more than ``block_chars`` characters in pieces of about so many; each begins with the last ``window`` - 1 words of the one before, so the windows are the same."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                if text is None or len(text) <= block_chars:
+                    out.append((item, text))
+                    continue
+                w = words.split(pa.array([text], pa.large_string()), words.ALNUM, lower=True)
+                raw, n = w.data.tobytes(), len(w.start)
+                step = max(window, n * block_chars // len(text))
+                for i in range(0, max(n - window + 1, 1), step):
+                    own = range(i, min(i + step + window - 1, n))
+                    out.append((item, b" ".join(raw[w.start[j] : w.end[j]] for j in own).decode()))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.string())], names=["item", "text"])
+
+    return cut
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Hits of benchmark windows in every document: see ``RESULT``; text_key is that of the function."""
     with scratch(docs.sparkSession):
@@ -278,7 +299,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
 
 def _contamination(index: DataFrame, benchmark: DataFrame, window: int, block_chars: int) -> DataFrame:
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.col("text").cast("string"))
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.col("text").cast("string")).distinct()
+    items = materialise(items.mapInArrow(_pieces(window, block_chars), "item string, text string"), "items")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-chars // block_chars))
     parts = []

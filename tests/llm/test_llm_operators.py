@@ -236,6 +236,16 @@ def test_contamination(spark, block):
     assert decontaminate.contamination(docs, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_contamination_by_repeated_and_long_items(spark):
+    """An item given a hundred times, and one of many blocks, whose windows lie across their borders."""
+    docs, rows = hostile(spark)
+    long = rows[17][1] if len(rows[17][1] or "") > 1000 else " ".join(f"w{i}" for i in range(20_000))
+    items = [(1, rows[0][1])] * 100 + [(2, long), (3, "z z")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.contamination(docs, bench, block_chars=30_000).collect())
+    assert got == brute_contamination(rows, list(dict.fromkeys(items)))
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "a x x b x c"), (2, "a b x x x x x c"), (3, "b")], "doc_id long, text string")
     got = [tuple(r) for r in decontaminate.proximity(decontaminate.build_index(docs), ["c", "A", "b"], 6).collect()]
@@ -288,6 +298,24 @@ def test_near_duplicates_of_a_large_group(spark, seed):
     assert {r.doc_id: r.class_id for r in got.collect()} == brute_classes(rows)
 
 
+def test_near_duplicates_of_texts_with_shared_boilerplate(spark, monkeypatch):
+    """Two thousand texts that share 85 % with others of their length, and so are no near copies: few pairs are verified, and none is paired with all."""
+    rng, seen = random.Random(4), []
+    base = [f"b{rng.randrange(10**6)}" for _ in range(400)]
+    rows = [(i, " ".join(base[: (n := rng.randrange(150, 300))] + [f"u{i}x{j}" for j in range(int(n * 0.15 / 0.85))])) for i in range(2_000)]
+    plain = dart_minhash.materialise
+
+    def noted(df, name, keep=False):
+        out = plain(df, name, keep)
+        if name == "judged":
+            seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(dart_minhash, "materialise", noted)
+    got = dart_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got.where("doc_id <> class_id").count() == 0 and sum(seen) < 15 * len(rows)
+
+
 def test_near_duplicates_at_the_threshold(spark):
     """Texts of exactly 0.8: a text and its beginning (n of 5n/4 shingles), two with n of 9n/8 in common; and beginnings one short of it."""
     rows, wanted = [], {}
