@@ -156,17 +156,18 @@ def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFram
 
 
 def _repeats(docs: DataFrame, window: int, seed: int) -> DataFrame:
-    found = materialise(paths(docs, window, seed), "paths")
-    nodes = found.groupBy("label", "content").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    labels = (
-        nodes.groupBy("label")
-        .agg(F.count("*").alias("nodes"), F.min("least").alias("lo"), F.max("most").alias("hi"))
-        .where("lo < hi")
-        .select("label", "nodes")
-    )
-    # Nodes of labels that two documents have; all other paths are out of play from here on.
-    nodes = materialise(nodes.join(labels, "label").select("label", "content", "least", "nodes"), "nodes")
-    met = found.join(nodes, ["label", "content"])
+    with scratch(docs.sparkSession):  # the table of all paths is the bulk, so it goes as soon as those in play are known
+        found = materialise(paths(docs, window, seed), "paths")
+        nodes = found.groupBy("label", "content").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+        labels = (
+            nodes.groupBy("label")
+            .agg(F.count("*").alias("nodes"), F.min("least").alias("lo"), F.max("most").alias("hi"))
+            .where("lo < hi")
+            .select("label", "nodes")
+        )
+        # Nodes of labels that two documents have; all other paths are out of play from here on.
+        nodes = materialise(nodes.join(labels, "label").select("label", "content", "least", "nodes"), "nodes")
+        met = materialise(found.join(nodes, ["label", "content"]), "paths-in-play", keep=True)
     # Sets, as rows that repeat a key bring equal paths: one list for each key, whatever the number of its rows.
     sources = met.where("doc_id = least")
     asked = sources.groupBy(*KEY).agg(F.collect_set(F.struct("at", "n", "reps", "label", "content", (F.col("nodes") > 1).alias("branches"))).alias("asked"))

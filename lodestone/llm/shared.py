@@ -73,12 +73,12 @@ _scratch: list[list[str]] = []
 def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: its lineage ends there.
 
-    Inside ``scratch`` the table lives to the end of it, unless it is to be kept.
+    Inside ``scratch`` the table lives to the end of it; one that is to be kept, to the end of the scratch around that, if there is one.
     """
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    if _scratch and not keep:
-        _scratch[-1].append(path)
+    if len(_scratch) > keep:
+        _scratch[-1 - keep].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
