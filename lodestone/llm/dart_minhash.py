@@ -166,7 +166,8 @@ class _Classes:
         """Rows (key, id) of groups that hold two classes, with component, n, and the group's least id as ``first``."""
         now = member.join(self.label, "id")
         two = now.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.min("id").alias("first"), F.min("n").alias("least")).where("c1 < c2").select("key", "first", "least")
-        now = now.join(two, "key")
+        # As a table, it is met by a plain shuffle of the members, of which Spark can split a much larger part; behind an aggregate it can't.
+        now = now.join(materialise(two, "two"), "key")
         if "at" in member.columns:  # too far on in its order even for the least partner in the group that could be a link
             t = self.threshold
             now = now.where((F.col("n") - F.col("at")) * (1 + t) >= t * (F.col("n") + F.greatest("least", t * F.col("n"))) - 1e-6)
@@ -248,7 +249,7 @@ def _near_duplicates(docs: DataFrame, threshold: float, k: int, rows: int) -> Da
         if now.isEmpty():
             break
         place = F.row_number().over(Window.partitionBy("key").orderBy("id"))
-        top = now.where("id = first") if leaders < 4 else now.withColumn("place", place).where(F.col("place") <= leaders).drop("place")
+        top = now.where("id = first") if leaders < 4 else materialise(now.withColumn("place", place).where(F.col("place") <= leaders).drop("place"), "leaders")
         classes.judge(classes.pairs(now, top))
         member = materialise(now.join(top.select("key", "id"), ["key", "id"], "left_anti").select("key", "id", "at"), "prefixes")
         leaders = min(leaders * (2 if leaders < 4 else 4), LEADERS)
