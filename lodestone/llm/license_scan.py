@@ -4,9 +4,9 @@ Text is cut into segments: sentences of lines; sentences of paragraphs, whose li
 whole text, for licence files. A line without a letter or digit, such as an empty line of a comment, ends a paragraph. A segment is
 normalised (lower case, runs of other than letters and digits become one blank, so comment marks go) and taken as the set of its word
 bigrams A. For a template with bigrams B, Dice is 2 |A & B| / (|A| + |B|). It can reach ``t`` only if
-|A| lies between t / (2 - t) and (2 - t) / t times |B|, and then at least t / (2 - t) |B| bigrams are common. The latter gives key words: so many of a short template's bigrams
-hold one of them that a segment without any cannot reach ``t``. Templates of more than ``SHORT`` bigrams are by definition compared only with segments that hold one of the words ``GATES``.
-Texts and segments without key words and gates are dropped by plain substring tests,
+|A| lies between t / (2 - t) and (2 - t) / t times |B|, and then at least t / (2 - t) |B| bigrams are common. The latter gives key words: so many of each template's bigrams,
+short or long, hold one of them that a segment without any cannot reach ``t``. So no pair that reaches ``t`` is left out.
+Texts and segments without key words are dropped by plain substring tests,
 segments outside all templates' size bounds before their bigrams are exploded, and the join checks the bounds of each template. The join's small side is the template table (bounded by
 ``MAX_BIGRAMS``; more templates are scanned in blocks of that size), which is broadcast; after it only bigrams of licences are left to be shuffled.
 
@@ -20,6 +20,7 @@ Dice counts, then the first; a text with undecided ones alone has no licence; an
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 import re
 
@@ -102,27 +103,35 @@ def bounds(size: int, threshold: float) -> tuple[int, int]:
     return math.ceil(size * threshold / (2 - threshold) - 1e-9), math.floor(size * (2 - threshold) / threshold + 1e-9)
 
 
-#: Templates of more bigrams are compared only with segments that hold one of these words: so many of their bigrams may miss that no few words would be sure to be met.
+#: For the SQL alone: it compares templates of more bigrams than ``SHORT`` only with segments that hold one of these words, a cut that ``scan`` does not make.
 SHORT = 12
 GATES = ("license", "permission", "redistribution", "copyright", "warrant", "mozilla")
 #: Words that are tried first as key words, as they are rare outside licences.
 PREFERRED = ("license", "creative", "unencumbered", "spdx", "gnu", "cc", "bsd", "mozilla")
+#: Words that are tried last, as nearly every text holds them.
+COMMON = frozenset("a all an and any are as at be by can do for from has if in is it may no not of on or other that the this to was with you".split())
 
 
 def key_words(templates: tuple[tuple[str, str], ...], threshold: float) -> list[str]:
-    """Few words of which every text that reaches ``threshold`` on some short template holds one: those of five letters or more anywhere in it, shorter ones as whole words.
+    """Few words of which every text that reaches ``threshold`` on some template holds one: those of five letters or more anywhere in it, shorter ones as whole words.
 
-    A template is settled when its bigrams without a key are fewer than must be common.
+    A template is settled when its bigrams without a key are fewer than must be common. Common words are taken last.
     """
-    grams = [g for _, text in templates if len(g := bigrams(text)) <= SHORT]
+    grams = [g for _, text in templates if (g := bigrams(text))]
+    having: dict[str, set[str]] = {}  # bigrams by their words
+    for g in itertools.chain(*grams):
+        for w in g.split():
+            having.setdefault(w, set()).add(g)
+    held = functools.cache(lambda k: set().union(*(g for w, g in having.items() if k in w)) if len(k) >= 5 else having.get(k, set()))
     keys: list[str] = []
-    spread = lambda k: sum(holds(w, [k]) for g in grams for w in g)
+    met: set[str] = set()
     for own in sorted(grams, key=len):
-        words = sorted({w for g in own for w in g.split() if len(w) > 1 and not w.isdigit()}, key=lambda k: (k not in PREFERRED, len(k) < 5, -spread(k), -len(k), k))
-        for k in ["", *[p for p in PREFERRED if any(holds(g, [p]) for g in own)], *words]:
-            if k and k not in keys:
+        words = sorted({w for g in own for w in g.split()}, key=lambda k: (k in COMMON, k not in PREFERRED, len(k) < 5, -len(k) if len(k) < 5 else 0, -len(held(k)), -len(k), k))
+        for k in ["", *[p for p in PREFERRED if not held(p).isdisjoint(own)], *words]:
+            if k and k not in keys and not held(k) <= met:
                 keys.append(k)
-            if sum(not holds(g, keys) for g in own) < bounds(len(own), threshold)[0]:
+                met |= held(k)
+            if len(set(own) - met) < bounds(len(own), threshold)[0]:
                 break
     return keys
 
@@ -174,13 +183,13 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, th
     sizes = [r[4:] for block in blocks for r in block]
     lo, hi = min(x for x, _ in sizes), max(x for _, x in sizes)
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("text_key", F.xxhash64("text"))
-    keys = [*dict.fromkeys([*key_words(templates, threshold), *GATES])]
+    keys = key_words(templates, threshold)
     cut = own.select("doc_id", "text_key", F.lower("text").alias("low")).where(_has(F.col("low"), keys))
     cut = cut.select("doc_id", "text_key", F.posexplode(segments(F.col("low"))).alias("segment", "s")).where(_has(F.col("s"), keys))
-    grams = cut.select("doc_id", "text_key", "segment", _has(F.col("s"), GATES).alias("gate"), _grams(F.col("s")).alias("grams")).withColumn("a", F.size("grams")).where(F.col("a").between(lo, hi))
-    flat = grams.select("doc_id", "text_key", "segment", "a", "gate", F.explode("grams").alias("gram"))
+    grams = cut.select("doc_id", "text_key", "segment", _grams(F.col("s")).alias("grams")).withColumn("a", F.size("grams")).where(F.col("a").between(lo, hi))
+    flat = grams.select("doc_id", "text_key", "segment", "a", F.explode("grams").alias("gram"))
     tables = [spark.createDataFrame(rows, "template int, license string, gram string, b int, lo int, hi int") for rows in blocks]
-    met = functools.reduce(DataFrame.unionByName, [flat.join(F.broadcast(t), "gram").where(F.expr("a >= lo and a <= hi") & (F.col("gate") | (F.col("b") <= SHORT))) for t in tables])
+    met = functools.reduce(DataFrame.unionByName, [flat.join(F.broadcast(t), "gram").where("a >= lo and a <= hi") for t in tables])
     # The grams of one segment are distinct; those of repeated rows are met once more each.
     shared = met.groupBy("doc_id", "text_key", "segment", "template", "license", "a", "b").agg(F.size(F.collect_set("gram")).alias("c"))
     close = shared.withColumn("dice", 2 * F.col("c") / (F.col("a") + F.col("b"))).where(F.col("dice") >= threshold)
@@ -194,7 +203,7 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, th
 
 
 def oracle() -> str:
-    """The same result as SQL for DuckDB, over a view ``documents``."""
+    """The same result as SQL for DuckDB, over a view ``documents``; but it leaves out pairs of a template of more than ``SHORT`` bigrams and a segment without ``GATES``."""
     t = THRESHOLD
     values = ", ".join(f"({i}, '{name}', '{g}', {len(own)})" for i, (name, text) in enumerate(TEMPLATES) for own in [bigrams(text)] for g in own)
     sentences = rf"string_split(regexp_replace({{}}, '{SENTENCE}', '\1' || chr(10), 'g'), chr(10))"

@@ -381,6 +381,26 @@ def test_whole_licences(spark):
     assert licence_of(spark, *(f"{h}\n\n1. Definitions. Other text of the licence that no template holds." for h in heads.values())) == list(heads)
 
 
+def test_long_notices_without_gate_words(spark):
+    """Notices of more than twelve bigrams in which other words stand for those of the SQL's gate; each template with every fifth to twelfth word changed."""
+    import duckdb
+
+    british = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public Licence as published by the Free Software Foundation, either version 3 of the Licence, or (at your option) any later version."
+    assert licence_of(spark, british) == ["GPL-3.0"]
+    swap = lambda t: re.sub("(?i)license|permission|redistribution|copyright|warrant|mozilla", "zq", t)
+    texts = [british, *(swap(t) for _, t in license_scan.TEMPLATES)]
+    texts += [" ".join("zq" if i % n == n - 1 else w for i, w in enumerate(t.split())) for n in (5, 8, 10, 12) for _, t in license_scan.TEMPLATES]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    cut = f" WHERE gate OR b <= {license_scan.SHORT}"
+    assert cut in license_scan.oracle()
+    con = duckdb.connect()
+    con.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    brute = con.execute(license_scan.oracle().replace(cut, "")).fetchall()
+    assert sorted(map(tuple, license_scan.scan(docs).collect())) == sorted(brute)
+    assert con.execute(license_scan.oracle()).fetchall() != brute
+
+
 def test_blocks_of_templates(spark, monkeypatch):
     docs, _ = hostile(spark)
     given = docs.unionByName(spark.createDataFrame([(90 + i, t, "en", 7, "k") for i, (_, t) in enumerate(license_scan.NOTICES)], DOCS))

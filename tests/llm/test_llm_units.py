@@ -206,6 +206,16 @@ def test_licence_key_words():
             assert any(g in text.lower() for g in license_scan.GATES)
 
 
+def test_licence_key_words_of_all_templates():
+    """The same for templates of any size, and for those of numbers and single letters."""
+    odd = (("X", "1 2 3 4"), ("Y", "a b c d e f g h i j k l m n o p"))
+    for threshold in (0.5, 0.8, 1.0):
+        keys = license_scan.key_words((*license_scan.TEMPLATES, *odd), threshold)
+        for _, text in (*license_scan.TEMPLATES, *odd):
+            grams = license_scan.bigrams(text)
+            assert sum(not license_scan.holds(g, keys) for g in grams) < license_scan.bounds(len(grams), threshold)[0]
+
+
 def test_licence_bounds_are_exact():
     for b in range(1, 500):
         assert license_scan.bounds(b, 0.8) == (-(-2 * b // 3), 3 * b // 2)
