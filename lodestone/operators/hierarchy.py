@@ -1,7 +1,7 @@
 """Hierarchies, inherited members, transitive dependencies and other graph questions.
 
-Bounded walks that keep a path of their own are recursive SQL; walks with one set of visited nodes for all paths are loops of
-joins, each round cut off by a checkpoint where the session has a folder for it.
+Walks, whether each keeps a path of its own or all share one set of visited nodes, are loops of joins, each round cut off by a
+checkpoint where the session has a folder for it.
 """
 
 from __future__ import annotations
@@ -9,7 +9,6 @@ from __future__ import annotations
 import itertools
 import re
 import tempfile
-import uuid
 from collections import defaultdict
 from collections.abc import Callable
 
@@ -35,23 +34,20 @@ def walk(edges: DataFrame, root: str, depth: int = MAX_DEPTH, down: bool = False
     """(depth, node, path): every path from ``root``, up to ``depth`` edges. ``edges``: (child, parent).
 
     A node that lies on the path already is not entered again, so cycles end. A shared node shows on each path to it.
+    Recursive SQL would stop with an error at a million paths or a hundred levels.
     """
-    depth = max(1, depth)
-    spark = edges.sparkSession
-    name = f"edges_{uuid.uuid4().hex}"
-    edges.select("child", "parent").distinct().createOrReplaceTempView(name)
     here, there = ("parent", "child") if down else ("child", "parent")
-    return spark.sql(
-        f"""
-        WITH RECURSIVE walk(depth, node, path) AS (
-          SELECT 0, :root, array(:root)
-          UNION ALL
-          SELECT w.depth + 1, e.{there}, array_append(w.path, e.{there})
-          FROM walk w JOIN {name} e ON e.{here} = w.node
-          WHERE w.depth < {depth} AND NOT array_contains(w.path, e.{there}))
-        SELECT depth, node, path FROM walk""",
-        args={"root": root},
-    )
+    hops = _cut(edges.select(F.col(here).alias("node"), F.col(there).alias("_to")).distinct())
+    out = front = edges.sparkSession.range(1).select(F.lit(0).alias("depth"), F.lit(root).alias("node"), F.array(F.lit(root)).alias("path"))
+    for d in range(1, max(1, depth) + 1):
+        front = front.join(hops, "node").where(~F.array_contains("path", F.col("_to")))
+        front = _cut(front.select(F.lit(d).alias("depth"), F.col("_to").alias("node"), F.array_append("path", F.col("_to")).alias("path")))
+        if front.isEmpty():
+            break
+        out = out.unionByName(front)
+        if d % 16 == 0:  # a union of few tables, however long the way
+            out = _cut(out)
+    return out
 
 
 def resolved(tree: DataFrame, symbols: DataFrame) -> DataFrame:

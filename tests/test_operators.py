@@ -17,6 +17,15 @@ def test_walk_ends_on_cycles(spark):
     assert sorted(tuple(r.path) for r in hierarchy.walk(e, "a").collect()) == [("a",), ("a", "b")]
 
 
+def test_walk_has_no_limit_of_paths(spark):
+    """Three full levels of 101 nodes: over a million paths."""
+    full = spark.range(3 * 101 * 101).selectExpr("concat('l', id div 10201, '-', id div 101 % 101) AS child", "concat('l', id div 10201 + 1, '-', id % 101) AS parent")
+    e = full.unionByName(spark.range(101).selectExpr("'r' AS child", "concat('l0-', id) AS parent"))
+    for down, edges_ in ((False, e), (True, e.select(F.col("child").alias("parent"), F.col("parent").alias("child")))):
+        got = {r.depth: (r["count"], r.n) for r in hierarchy.walk(edges_, "r", 3, down).groupBy("depth").agg(F.count("*").alias("count"), F.max(F.size("path")).alias("n")).collect()}
+        assert got == {d: (101**d, d + 1) for d in range(4)}
+
+
 def test_reach_visits_once(spark):
     e = edges(spark, [("a", "b"), ("b", "c"), ("a", "c"), ("c", "a")], "src string, dst string")
     got = {r.node: r.depth for r in hierarchy.reach(e, spark.createDataFrame([("a",)], "node string")).collect()}
