@@ -30,6 +30,8 @@ from .shared import free_name, materialise
 from .tokens import batch_encoder
 
 MAX_LEN, END_ID, OPEN_BINS, ROWS_PER_TASK = 2048, 0, 1_024, 100_000
+#: Texts are encoded in groups of so many bytes: an executor keeps workers of other stages, with their caches, beside those that run.
+GROUP_BYTES = 1 << 19
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
 
@@ -45,7 +47,7 @@ def pieces(docs: DataFrame, tokenizer: str, max_len: int = MAX_LEN, end_id: int
         enc = batch_encoder(tokenizer)
         end = np.array([end_id], enc.dtype)
         for batch in batches:
-            for group in words.groups(batch, keep_caches=True):
+            for group in words.groups(batch, size=GROUP_BYTES, keep_caches=True):
                 doc, piece, start, length, crc = [], [], [], [], []
                 every, at = enc.encode(group.column("text"))
                 for i, key in enumerate(group.column("doc_id").to_pylist()):

@@ -140,8 +140,10 @@ class BatchEncoder:
     """Ids of whole Arrow arrays of texts. The cache is an open hash table in numpy: two independent 64-bit hashes of a piece's bytes
     as the key, and the piece's ids in one flat array. When it is full, pieces that were met again stay, the others go."""
 
-    SLOTS, MAX_PIECE, PROBES = 1 << 21, 64, 32
-    SHIFT = words.U(64 - 21)
+    SLOTS, MAX_PIECE, PROBES = 1 << 20, 64, 32
+    SHIFT = words.U(64 - 20)
+    #: Pieces that the tokenizer gets at once: what it gives for each takes far more memory than the ids.
+    AT_ONCE = 1 << 12
 
     def __init__(self, path: str):
         self.one = Encoder(path)
@@ -198,15 +200,18 @@ class BatchEncoder:
 
     def _add(self, pieces: list[bytes]) -> np.ndarray:
         """Entries of new pieces."""
-        found = self.one.tokenizer.encode_batch([p.decode() for p in pieces], add_special_tokens=False)
-        ids = [e.ids for e in found]
-        base = len(self.begin)
-        count = np.fromiter(map(len, ids), np.int32, len(ids))
+        flat, counts = [self.flat], [np.zeros(0, np.int32)]
+        for i in range(0, len(pieces), self.AT_ONCE):
+            found = self.one.tokenizer.encode_batch([p.decode() for p in pieces[i : i + self.AT_ONCE]], add_special_tokens=False)
+            ids = [e.ids for e in found]
+            counts.append(np.fromiter(map(len, ids), np.int32, len(ids)))
+            flat.append(np.fromiter((i for x in ids for i in x), self.dtype, int(counts[-1].sum())))
+        base, count = len(self.begin), np.concatenate(counts)
         begin = len(self.flat) + np.cumsum(count) - count
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), self.dtype, int(count.sum()))])
+        self.flat = np.concatenate(flat)
         self.begin, self.count = np.concatenate([self.begin, begin]), np.concatenate([self.count, count])
-        self.again = np.concatenate([self.again, np.zeros(len(ids), bool)])
-        return np.arange(base, base + len(ids), dtype=np.int32)
+        self.again = np.concatenate([self.again, np.zeros(len(pieces), bool)])
+        return np.arange(base, base + len(pieces), dtype=np.int32)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's begin (one more place than texts)."""

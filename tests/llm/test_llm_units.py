@@ -195,6 +195,27 @@ def test_rules_collisions_and_ties():
     assert len(url_filter.DigestArray.to_bytes([])) > 0
 
 
+def test_tokenizer_gets_few_pieces_at_once():
+    """What the tokenizer gives for a piece is far larger than its ids; those of a whole group of new words must not meet in memory."""
+    enc = tokens.BatchEncoder(tokens.default_path())
+    whole, given = enc.one.tokenizer, []
+
+    class Counting:
+        def encode_batch(self, pieces, **options):
+            given.append(len(pieces))
+            return whole.encode_batch(pieces, **options)
+
+    enc.one.tokenizer = Counting()
+    texts = [" ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}x" for i in range(j, 17_000, 3)) for j in range(3)]
+    got, at = enc.encode(pa.array(texts))
+    assert sum(given) > 15_000 and max(given) <= 1 << 12
+    for i, text in enumerate(texts):
+        assert got[at[i] : at[i + 1]].tolist() == whole.encode(text, add_special_tokens=False).ids
+    enc.encode(pa.array(texts))
+    assert sum(given) < 20_000  # all met again
+    assert packing.GROUP_BYTES <= 1 << 19
+
+
 def test_licence_key_words():
     """A text that lacks all key words misses too many bigrams of each short template; long ones hold a gate word themselves."""
     keys = license_scan.key_words(license_scan.TEMPLATES, 0.8)
